@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(lengths):
             if i > start and held + size > most:
