@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_bpe
+from . import op1_toxicity, op5_bpe, op8_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity.query,
     "op5_bpe": op5_bpe.query,
+    "op8_quality": op8_quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
