@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op5_bpe, op8_quality
+from . import op1_toxicity, op5_bpe, op8_quality, op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity.query,
     "op5_bpe": op5_bpe.query,
     "op8_quality": op8_quality.query,
+    "op9_simhash": op9_simhash.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
