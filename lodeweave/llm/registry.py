@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op5_bpe, op7_flac, op8_quality, op9_simhash, op10_packing
+from . import op1_toxicity, op2_secrets, op5_bpe, op7_flac, op8_quality, op9_simhash, op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity.query,
+    "op2_secrets": op2_secrets.query,
     "op5_bpe": op5_bpe.query,
     "op7_flac": op7_flac.query,
     "op8_quality": op8_quality.query,
