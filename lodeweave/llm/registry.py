@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op2_secrets, op5_bpe, op6_licenses, op7_flac, op8_quality, op9_simhash, op10_packing
+from . import op1_toxicity, op2_secrets, op3_topk, op5_bpe, op6_licenses, op7_flac, op8_quality, op9_simhash, op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity.query,
     "op2_secrets": op2_secrets.query,
+    "op3_topk": op3_topk.query,
     "op5_bpe": op5_bpe.query,
     "op6_licenses": op6_licenses.query,
     "op7_flac": op7_flac.query,
@@ -19,4 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_topk": op3_topk.ORACLE_SQL,
+}
