@@ -47,26 +47,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(start, n - start)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
-
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
-    as in tests on one machine, a temporary folder is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
 
-            folder = tempfile.mkdtemp(prefix="lodeweave-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp(prefix="lodeweave-")
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 #: Rows in a batch for a Python worker: whole texts can be long, and Spark bounds its batches by rows only.
@@ -83,3 +82,21 @@ def small_batches(spark: SparkSession) -> None:
 def strings(column: pa.Array) -> list[str]:
     """A text column as a list, null as the empty string."""
     return [x or "" for x in column.to_pylist()]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back; many small rows take less room than by ``checkpointed``.
+
+    The shuffle files behind it are no longer needed, and are released.
+    """
+    import gc
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lodeweave-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_toxicity, op2_secrets, op3_topk, op5_bpe, op6_licenses, op7_flac, op8_quality, op9_simhash, op10_packing
+from . import op1_toxicity, op2_secrets, op3_topk, op4_dedup, op5_bpe, op6_licenses, op7_flac, op8_quality, op9_simhash, op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity.query,
     "op2_secrets": op2_secrets.query,
     "op3_topk": op3_topk.query,
+    "op4_dedup": op4_dedup.query,
     "op5_bpe": op5_bpe.query,
     "op6_licenses": op6_licenses.query,
     "op7_flac": op7_flac.query,
