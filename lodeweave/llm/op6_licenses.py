@@ -59,10 +59,24 @@ def vocabulary(templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES) ->
     return sorted({w for passage, _ in templates.values() for w in passage.split()})
 
 
-def words(text: Column) -> Column:
-    """Words after A-Z is lower-cased: runs of digits, a-z and characters beyond ASCII."""
-    # The separators are ASCII, and so is the blank that trim takes off.
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), SPLIT, -1), lambda w: w != "")
+def pieces(text: Column) -> Column:
+    """The text cut at what is no word; only the first and the last piece can be empty.
+
+    ``lower`` also lower-cases characters beyond ASCII. That moves no border
+    between words, and of what it turns into ASCII (the kelvin sign into k)
+    nothing stands in a base phrase.
+    """
+    return F.split(F.lower(text), SPLIT, -1)
+
+
+def _count(pieces: str) -> Column:
+    """Words among the pieces."""
+    return F.expr(f"size({pieces}) - case when {pieces}[0] = '' then 1 else 0 end - case when size({pieces}) > 1 and {pieces}[size({pieces}) - 1] = '' then 1 else 0 end").cast("long")
+
+
+def triggers(templates: dict[str, tuple[str, tuple[str, ...]]]) -> list[str]:
+    """The longest word of each base and key phrase: a file that lacks them all has no place and no label."""
+    return sorted({max(p.split(), key=len) for p in [*BASE, *(p for _, keys in templates.values() for p in keys)]})
 
 
 def _places(phrase: str, spaced: str, ws: str) -> Column:
@@ -73,10 +87,10 @@ def _places(phrase: str, spaced: str, ws: str) -> Column:
 
 
 def frequencies(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES) -> tuple[int, dict[str, int]]:
-    """Rows of the whole table, and the rows that hold each licence word; partial counts are all that is shuffled."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.translate(F.coalesce(df[text], F.lit("")), _UPPER, _LOWER), SPLIT, " "), F.lit(" "))
+    """Rows of the whole table, and the rows that hold each licence word; one row of partial counts for each task is all that is shuffled."""
     known = vocabulary(templates)
-    row = df.select(spaced.alias("s")).agg(F.count("*").alias("n"), *(F.count_if(F.contains("s", F.lit(f" {w} "))).alias(f"w{i}") for i, w in enumerate(known))).first()
+    held = F.array_intersect(F.array(*map(F.lit, known)), pieces(F.coalesce(df[text], F.lit(""))))
+    row = df.select(held.alias("h")).agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("h", w)).alias(f"w{i}") for i, w in enumerate(known))).first()
     return row["n"], {w: row[f"w{i}"] for i, w in enumerate(known)}
 
 
@@ -97,19 +111,21 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tupl
     kept = [c for c in df.columns if c not in ("n_words", "places", "found")]
     empty = "cast(array() as array<struct<label:string,start:int,score:double>>)"
     known = F.create_map(*(x for w in order for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w])))))
-    out = df.select(*kept, words(F.coalesce(df[text], F.lit(""))).alias("__w"))
+    out = df.select(*kept, pieces(F.coalesce(df[text], F.lit(""))).alias("__pieces"))
+    out = out.select(*kept, _count("__pieces").alias("n_words"), F.when(F.arrays_overlap("__pieces", F.array(*map(F.lit, triggers(templates)))), F.array_remove("__pieces", "")).alias("__w"))
     out = out.withColumn("__s", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
     out = out.withColumns({f"__p{i}": _places(p, "__s", "__w") for i, p in enumerate(BASE)})
     # Only files with a key phrase of some template can get a label; that is one search for each phrase.
     phrases = sorted({p for _, keys in templates.values() for p in keys})
     possible = " or ".join(f"contains(__s, ' {p} ')" for p in phrases)
-    out = out.withColumn("__hit", F.expr(possible))
+    out = out.withColumn("__hit", F.coalesce(F.expr(possible), F.lit(False)))
     in_order = F.array(*map(F.lit, order))
     chosen = F.slice(F.array_intersect(in_order, F.col("__w")), 1, rare)
     out = out.withColumn("__rare", F.when(F.col("__hit"), chosen))
     # Votes: template and place where it would begin, for each occurrence of a rare word.
     pairs = F.flatten(F.transform(F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("__rare"), x["w"])), lambda x: F.transform(F.element_at(known, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("at")))))
-    out = out.withColumn("__votes", F.when(F.col("__hit"), F.array_sort(pairs)))
+    # A column that only a lambda uses would be computed within it, for every word; so the condition uses it too.
+    out = out.withColumn("__votes", F.when(F.col("__hit") & (F.size("__rare") > 0), F.array_sort(pairs)))
     # Runs of equal votes, in order.
     runs = F.expr("""
         aggregate(__votes, named_struct('t', -1, 'at', 0, 'n', 0, 'out', cast(array() as array<struct<n:int,t:int,at:int>>)),
@@ -125,13 +141,15 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tupl
         for key in keys:
             parts = key.split()
             offset = next(k for k in range(len(sequence)) if sequence[k : k + len(parts)] == parts)
-            checks.append(f"(r.t = {t} and r.at + {offset} >= 0 and array_join(slice(__w, greatest(r.at + {offset} + 1, 1), {len(parts)}), ' ') = '{key}')")
+            # Word by word: a slice would copy the whole array.
+            same = " and ".join(f"get(__w, r.at + {offset + k}) = '{w}'" for k, w in enumerate(parts))
+            checks.append(f"(r.t = {t} and {same})")
     labels = F.array(*map(F.lit, names))
     sizes = F.array(*(F.lit(float(len(p.split()))) for p, _ in templates.values()))
     verified = F.expr(f"filter(__runs, r -> {' or '.join(checks)})")
     found = F.transform(verified, lambda r: F.struct(F.element_at(labels, r["t"] + 1).alias("label"), r["at"].alias("start"), F.least(F.lit(1.0), r["n"] / F.least(F.element_at(sizes, r["t"] + 1), F.lit(float(rare)))).alias("score")))
     places = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"__p{i}").alias("starts")) for i, label in enumerate(BASE.values())))
-    return out.select(*kept, F.size("__w").cast("long").alias("n_words"), places.alias("places"), F.coalesce(F.when(F.col("__hit"), found), F.expr(empty)).alias("found"))
+    return out.select(*kept, "n_words", places.alias("places"), F.coalesce(F.when(F.col("__hit"), found), F.expr(empty)).alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
