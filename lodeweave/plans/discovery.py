@@ -170,6 +170,10 @@ class Match:
     overlap: float
 
 
+def _prefixed(name: str):
+    return lambda k, v: F.concat(F.lit(name + "__"), k)
+
+
 def _stacked(df: DataFrame, side: str, fields: bool) -> DataFrame:
     """``col, value`` of up to ``DETECT_ROWS`` rows; fields of objects in text are columns ``parent__field`` of side b."""
     df = df.limit(DETECT_ROWS)
@@ -179,7 +183,7 @@ def _stacked(df: DataFrame, side: str, fields: bool) -> DataFrame:
         if fields and isinstance(f.dataType, T.StringType):
             c = F.col(quoted(f.name))
             inner = F.when(strip(c).startswith("{"), F.from_json(c, "map<string,string>"))
-            entries.append(F.transform_keys(F.coalesce(F.map_filter(inner, lambda k, v: ~v.rlike(r"^\s*[\[{]")), F.create_map().cast("map<string,string>")), lambda k, v, n=f.name: F.concat(F.lit(n + "__"), k)))
+            entries.append(F.transform_keys(F.coalesce(F.map_filter(inner, lambda k, v: ~v.rlike(r"^\s*[\[{]")), F.create_map().cast("map<string,string>")), _prefixed(f.name)))
     return df.select(F.explode(F.map_concat(*entries)).alias("col", "value")).where("value is not null").withColumn("side", F.lit(side))
 
 

@@ -231,13 +231,13 @@ def _months(spark, sf):
     return o.groupBy(F.col("o_orderpriority").alias("g"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("s")).agg(F.count("*").alias("v"))
 
 
-@query(_EMA + " SELECT g, s, v::DOUBLE AS v, round(ema, 4) AS ema FROM e")
+@query(_EMA + " SELECT g, s, v::DOUBLE AS v, round(round(ema, 6), 4) AS ema FROM e")
 def ema_full(spark, sf):
     out = apply(_months(spark, sf), [{"op": "compute_ema", "group_by": "g", "sort_by": "s", "value_col": "v", "summarize": False}])
     return out.withColumn("ema", F.round("ema", 4))
 
 
-@query(_EMA + " SELECT g, s, v::DOUBLE AS v, round(ema, 4) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ema DESC, s) AS k FROM e) WHERE k = 1")
+@query(_EMA + " SELECT g, s, v::DOUBLE AS v, round(round(ema, 6), 4) AS ema FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ema DESC, s) AS k FROM e) WHERE k = 1")
 def ema_summarize_gapfill(spark, sf):
     return stats.ema(_months(spark, sf), "g", "s", "v", alpha=0.2).withColumn("ema", F.round("ema", 4))
 
@@ -339,7 +339,7 @@ _sql("count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FRO
 _sql("distinct", "SELECT DISTINCT p_brand, p_type FROM part")
 _sql("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
 _sql("window_rank", "SELECT o_orderkey, o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
-_sql("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS q FROM lineitem")
+_sql("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS q FROM lineitem")
 _sql("window_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS d FROM customer")
 _sql("cte", "WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY o_custkey), m AS (SELECT avg(v) AS a FROM t) SELECT k FROM t, m WHERE v > 1.5 * a")
 _sql("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")

@@ -160,5 +160,6 @@ class DuckdbSource(_Embedded):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     spark.dataSource.register(DuckdbSource)
