@@ -139,9 +139,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2: ``_FOUND`` rows: ranges that are removed (info 0), and candidates (info: count, back, and 1 << 16 for the strings of hot anchors)."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    got = [b for b in batches if b.num_rows]
+    if not got:
         return
+    table = pa.Table.from_batches(got)
+    del got
     r = {c: table[c].to_numpy() for c in table.column_names}
     del table
     kind = r["info"] >> 16
@@ -264,9 +266,11 @@ def repeated(strings: list[bytes], count: np.ndarray, shard_bytes: int = SHARD_B
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3b: ranges that are removed."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    got = [b for b in batches if b.num_rows]
+    if not got:
         return
+    table = pa.Table.from_batches(got)
+    del got
     info = table["info"].to_numpy()
     ready = info == -1
     if ready.any():

@@ -85,7 +85,7 @@ def pcm_blocks(df: DataFrame, media: str = "media", frames: int = 64) -> DataFra
     payload = restore(df, media, "__payload", "__feature").drop("__feature", media).where(F.col("__payload").isNotNull())
     kept = [F.col(c) for c in payload.columns if c != "__payload"]
     cut = F.sequence(F.lit(0), F.length("__payload") - 1, F.lit(size))
-    rows = payload.select(*kept, "__payload", F.explode(cut).cast("long").alias("sample_offset"))
+    rows = payload.select(*kept, "__payload", F.explode(cut).alias("sample_offset")).withColumn("sample_offset", F.col("sample_offset").cast("long"))
     return rows.select(*kept, "sample_offset", F.expr(f"substring(__payload, cast(sample_offset + 1 as int), {size})").alias("pcm"))
 
 
