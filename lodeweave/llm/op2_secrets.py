@@ -119,3 +119,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with its secrets replaced by a mark."""
     return redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _sql_spans(pattern: str, kind: str, keep: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {KINDS.index(kind)} AS kind, a, a + length(m[i]) AS b FROM (
+    SELECT *, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM (
+      SELECT doc_id, p, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(s, '{p}') AS p, regexp_extract_all(s, '{p}') AS m FROM t) WHERE len(m) > 0))
+  WHERE {keep.replace("@m", "m[i]")}"""
+
+
+def _sql_beside(kinds: str) -> str:
+    return f"EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND p.kind IN ({kinds}) AND p.a < w.b + {REACH} AND p.b > w.a - {REACH})"
+
+
+_QUOTED = ASSIGN.replace("'", "''")
+ORACLE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+strong AS ({_sql_spans(ASSIGN, "assign", f"length(regexp_extract(@m, '{_QUOTED}', 2)) >= 6")}
+  UNION ALL {_sql_spans(ACCESS, "access")}
+  UNION ALL {_sql_spans(HEX, "hex")}),
+weak AS (SELECT * FROM ({_sql_spans(IDENTIFIER, "identifier")}
+  UNION ALL {_sql_spans(TOKEN, "token", "length(@m) <= 64 AND regexp_matches(@m, '[0-9]') AND regexp_matches(@m, '[a-z]') AND regexp_matches(@m, '[A-Z]')")}
+  UNION ALL {_sql_spans(ENDPOINT, "endpoint")}) w
+  WHERE NOT EXISTS (SELECT 1 FROM strong p WHERE p.doc_id = w.doc_id AND p.a < w.b AND p.b > w.a)),
+parts AS (SELECT * FROM strong UNION ALL SELECT * FROM weak),
+linked AS (SELECT * FROM weak w WHERE (kind = 3 AND {_sql_beside("0, 2, 4")}) OR (kind = 4 AND {_sql_beside("1, 3")}) OR (kind = 5 AND {_sql_beside("0, 2, 4")} AND {_sql_beside("1, 3")})),
+named AS (SELECT doc_id, kind, a, b, list_extract({list(KINDS)}, kind + 1) || ':' || a || ':' || b AS x FROM (SELECT * FROM strong UNION ALL SELECT * FROM linked)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  coalesce(string_agg(x, ',' ORDER BY a, kind, b) FILTER (kind < 3), '') AS base, string_agg(x, ',' ORDER BY a, kind, b) AS spans FROM named GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN s ON t.doc_id = s.doc_id
+"""

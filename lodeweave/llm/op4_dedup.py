@@ -363,3 +363,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with repeated passages cut out."""
     found = dedup(docs, as_text=True)
     return found.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+
+
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 99)::BIGINT)) AS p FROM t)),
+f AS (SELECT s, min((doc_id, p)) AS first FROM g GROUP BY s HAVING count(*) > 1),
+r AS (SELECT g.doc_id, g.p FROM g JOIN f ON g.s = f.s AND (g.doc_id, g.p) <> f.first),
+n AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM r),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM n) GROUP BY doc_id, k),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS ahead FROM i),
+c AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop, string_agg(substr(h, 2 * ahead + 1, 2 * (a - ahead)), '' ORDER BY a) AS kept FROM k JOIN t ON t.doc_id = k.doc_id GROUP BY k.doc_id)
+SELECT t.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN c ON t.doc_id = c.doc_id
+"""
