@@ -208,14 +208,14 @@ _step_query("having_group_avg", "orders", ["o_custkey", "cast(o_orderkey as doub
 def sort_desc_nulls_first(spark, sf):
     df = _t(spark, sf, "customer").selectExpr("c_custkey", "case when c_nationkey = 3 then null else c_acctbal end AS v")
     ordered = apply(df, [{"op": "sort", "column": "v"}])
-    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.col("v").desc_nulls_first(), "c_custkey")))
+    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.col("v").desc_nulls_first(), "c_custkey")).cast("long"))
 
 
 @query("SELECT c_custkey, v, row_number() OVER (ORDER BY v NULLS LAST, c_custkey) AS place FROM (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_acctbal END AS v FROM customer)")
 def sort_asc_nulls_last(spark, sf):
     df = _t(spark, sf, "customer").selectExpr("c_custkey", "case when c_nationkey = 3 then null else c_acctbal end AS v")
     ordered = apply(df, [{"op": "sort", "by": "v", "direction": "asc"}])
-    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.col("v").asc_nulls_last(), "c_custkey")))
+    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.col("v").asc_nulls_last(), "c_custkey")).cast("long"))
 
 
 _MONTHS = "SELECT o_orderpriority AS g, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS s, count(*) AS v FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1, 2"
@@ -338,9 +338,9 @@ _sql("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lin
 _sql("count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus")
 _sql("distinct", "SELECT DISTINCT p_brand, p_type FROM part")
 _sql("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
-_sql("window_rank", "SELECT o_orderkey, o_custkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
+_sql("window_rank", "SELECT o_orderkey, o_custkey, cast(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS bigint) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
 _sql("window_frame", "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS q FROM lineitem")
-_sql("window_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS q, dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS d FROM customer")
+_sql("window_ntile", "SELECT c_custkey, cast(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS bigint) AS q, cast(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS bigint) AS d FROM customer")
 _sql("cte", "WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY o_custkey), m AS (SELECT avg(v) AS a FROM t) SELECT k FROM t, m WHERE v > 1.5 * a")
 _sql("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
 _sql("case_coalesce", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, coalesce(nullif(p_type, 'STANDARD'), 'plain') AS t FROM part")
