@@ -169,3 +169,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.concat("__base", F.transform("found", lambda x: x["label"]))).alias("labels"),
         F.when(F.size("__base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
+
+
+def _oracle() -> str:
+    """SQL for the same rows, with the templates as values."""
+    base = [(p, label) for p, label in BASE.items()]
+    posting = [(w, t, i) for t, (passage, _) in TEMPLATES.items() for i, w in enumerate(passage.split())]
+    size = [(t, min(len(passage.split()), RARE)) for t, (passage, _) in TEMPLATES.items()]
+    key = []
+    for t, (passage, phrases) in TEMPLATES.items():
+        sequence = passage.split()
+        for p in phrases:
+            parts = p.split()
+            key.append((t, next(k for k in range(len(sequence)) if sequence[k : k + len(parts)] == parts), p))
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return rf"""
+WITH base(phrase, label) AS (VALUES {values(base)}), posting(word, t, pos) AS (VALUES {values(posting)}),
+size(t, n) AS (VALUES {values(size)}), key(t, offs, phrase) AS (VALUES {values(key)}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+b AS (SELECT DISTINCT d.doc_id, label, i FROM d JOIN u ON u.doc_id = d.doc_id JOIN base ON split_part(phrase, ' ', 1) = u.word
+  WHERE array_to_string(d.w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
+p AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+v AS (SELECT word, count(DISTINCT doc_id) AS n FROM u WHERE word IN (SELECT word FROM posting) GROUP BY 1),
+r AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS k FROM (SELECT DISTINCT doc_id, u.word, n FROM u JOIN v ON u.word = v.word)) WHERE k <= {RARE}),
+votes AS (SELECT u.doc_id, t, (i - pos) AS pos, count(*) AS n FROM u JOIN r ON u.doc_id = r.doc_id AND u.word = r.word JOIN posting ON posting.word = u.word GROUP BY 1, 2, 3),
+f AS (SELECT votes.doc_id, votes.t AS label, max(least(1.0, votes.n / size.n::DOUBLE)) AS score FROM votes JOIN key ON key.t = votes.t JOIN size ON size.t = votes.t JOIN d ON d.doc_id = votes.doc_id
+  WHERE pos + offs >= 0 AND array_to_string(d.w[pos + offs + 1 : pos + offs + len(string_split(phrase, ' '))], ' ') = phrase GROUP BY 1, 2),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS score FROM b UNION ALL SELECT * FROM f) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(l.score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -25,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_secrets": op2_secrets.ORACLE_SQL,
     "op3_topk": op3_topk.ORACLE_SQL,
     "op4_dedup": op4_dedup.ORACLE_SQL,
+    "op6_licenses": op6_licenses.ORACLE_SQL,
 }
