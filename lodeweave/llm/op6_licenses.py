@@ -4,9 +4,12 @@
 inverted index: word to (template, position). Document frequencies of these
 words are counted over the whole corpus; a file looks up its ``RARE`` licence
 words of the highest IDF, and each occurrence votes for the place at which its
-template would begin (position in the file less position in the template). The
-place with most votes is a candidate, and it becomes a label only if one of the
-template's mandatory key phrases stands where that place puts it.
+template would begin (position in the file less position in the template). A
+place becomes a label only if one of the template's mandatory key phrases stands
+where that place puts it. In a file with several licences the words of one can
+use up the ``RARE``, so every key phrase that stands in a file is a place too;
+one that no rare word voted for counts a single vote. The score alone depends
+on the rare words.
 
 The base phrases are matched in every file by themselves, wherever they stand.
 
@@ -86,6 +89,11 @@ def _places(phrase: str, spaced: str, ws: str) -> Column:
     return F.expr(f"case when contains({spaced}, ' {phrase} ') then filter(sequence(0, size({ws}) - {len(parts)}), i -> {test}) else cast(array() as array<int>) end")
 
 
+def _place(t: int, offset: int):
+    """Where template ``t`` would begin if its key phrase, ``offset`` words in, starts at ``i``."""
+    return lambda i: F.struct(F.lit(t).alias("t"), (i - offset).alias("at"))
+
+
 def frequencies(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES) -> tuple[int, dict[str, int]]:
     """Rows of the whole table, and the rows that hold each licence word; one row of partial counts for each task is all that is shuffled."""
     known = vocabulary(templates)
@@ -135,7 +143,7 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tupl
           acc -> case when acc.n > 0 then concat(acc.out, array(named_struct('n', acc.n, 't', acc.t, 'at', acc.at))) else acc.out end)""")
     out = out.withColumn("__runs", F.when(F.col("__hit"), runs))
     # Mandatory phrases, verified in place.
-    checks = []
+    checks, keyed = [], []
     for t, (passage, keys) in enumerate(templates.values()):
         sequence = passage.split()
         for key in keys:
@@ -144,10 +152,15 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tupl
             # Word by word: a slice would copy the whole array.
             same = " and ".join(f"get(__w, r.at + {offset + k}) = '{w}'" for k, w in enumerate(parts))
             checks.append(f"(r.t = {t} and {same})")
+            keyed.append(F.transform(_places(key, "__s", "__w"), _place(t, offset)))
     labels = F.array(*map(F.lit, names))
     sizes = F.array(*(F.lit(float(len(p.split()))) for p, _ in templates.values()))
-    verified = F.expr(f"filter(__runs, r -> {' or '.join(checks)})")
-    found = F.transform(verified, lambda r: F.struct(F.element_at(labels, r["t"] + 1).alias("label"), r["at"].alias("start"), F.least(F.lit(1.0), r["n"] / F.least(F.element_at(sizes, r["t"] + 1), F.lit(float(rare)))).alias("score")))
+    out = out.withColumn("__verified", F.when(F.col("__hit"), F.expr(f"filter(__runs, r -> {' or '.join(checks)})")))
+    # Key phrases at places without a vote; array_except leaves each of them once.
+    voted = F.expr("coalesce(transform(__verified, r -> named_struct('t', r.t, 'at', r.at)), array())")
+    missed = F.array_except(F.concat(*keyed), voted.cast("array<struct<t:int,at:int>>"))
+    all_found = F.concat(F.coalesce(F.col("__verified"), F.expr("cast(array() as array<struct<n:int,t:int,at:int>>)")), F.transform(missed, lambda m: F.struct(F.lit(1).alias("n"), m["t"].alias("t"), m["at"].alias("at"))))
+    found = F.transform(all_found, lambda r: F.struct(F.element_at(labels, r["t"] + 1).alias("label"), r["at"].alias("start"), F.least(F.lit(1.0), r["n"] / F.least(F.element_at(sizes, r["t"] + 1), F.lit(float(rare)))).alias("score")))
     places = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"__p{i}").alias("starts")) for i, label in enumerate(BASE.values())))
     return out.select(*kept, "n_words", places.alias("places"), F.coalesce(F.when(F.col("__hit"), found), F.expr(empty)).alias("found"))
 
