@@ -227,7 +227,7 @@ e AS (SELECT f.g, f.s, f.v, f.v::DOUBLE AS ema FROM f JOIN b ON f.g = b.g AND f.
 
 
 def _months(spark, sf):
-    o = _t(spark, sf, "orders").where("o_custkey % 5 = 0")
+    o = _t(spark, sf, "orders")
     return o.groupBy(F.col("o_orderpriority").alias("g"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("bigint").alias("s")).agg(F.count("*").alias("v"))
 
 
