@@ -101,7 +101,8 @@ class Candidate:
 
 
 class JoinDiscovery:
-    def __init__(self, catalog: SourceCatalog, name_threshold: float = NAME_THRESHOLD, overlap_threshold: float = OVERLAP_THRESHOLD, least_confidence: float = LEAST_CONFIDENCE, sample: int = SAMPLE):
+    def __init__(self, catalog: SourceCatalog, name_threshold: float = NAME_THRESHOLD, overlap_threshold: float = OVERLAP_THRESHOLD, least_confidence: float = LEAST_CONFIDENCE, sample: int | None = SAMPLE):
+        """``sample`` bounds the rows of each column; with None every value counts."""
         self.catalog, self.name_threshold, self.overlap_threshold, self.least, self.sample = catalog, name_threshold, overlap_threshold, least_confidence, sample
 
     def _values(self, pairs: list[tuple[tuple, tuple]]) -> DataFrame:
@@ -109,7 +110,9 @@ class JoinDiscovery:
         for i, sides in enumerate(pairs):
             for side, (alias, table, column) in zip("ab", sides, strict=True):
                 df = self.catalog.table(alias, table)
-                parts.append(df.where(F.col(quoted(column)).isNotNull()).limit(self.sample).select(F.lit(i).cast("long").alias("pair"), F.lit(side).alias("side"), as_string(df, column).alias("value")))
+                df = df.where(F.col(quoted(column)).isNotNull())
+                df = df if self.sample is None else df.limit(self.sample)
+                parts.append(df.select(F.lit(i).cast("long").alias("pair"), F.lit(side).alias("side"), as_string(df, column).alias("value")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionAll(p)
@@ -138,7 +141,7 @@ class JoinDiscovery:
             similarity = name_similarity(a[2], b[2])
             score = confidence(similarity, overlap)
             if score < self.least and similarity >= 0.80 and suggest:
-                left, right = (self.catalog.sample_column(*side, self.sample) for side in (a, b))
+                left, right = (self.catalog.sample_column(*side, self.sample or SAMPLE) for side in (a, b))
                 name = suggest(a, b, left, right)
                 if name in keys.GRAMMAR:
                     found = {r["transform"]: r["overlap"] for r in overlaps(self._values([(a, b)])).collect()}

@@ -391,7 +391,7 @@ def discover_joins(spark, sf):
     from .sources.profile import Table, columns_of
 
     schema = {a: {t: Table(t, columns_of(catalog.table(a, t))) for t in catalog.tables(a)} for a in ("sales", "crm")}
-    found = discovery.JoinDiscovery(catalog, sample=100_000).discover(schema)
+    found = discovery.JoinDiscovery(catalog, sample=None).discover(schema)
     return spark.createDataFrame([(".".join(c.a), ".".join(c.b), c.transform, float(c.overlap), c.confidence) for c in found], "a string, b string, transform string, overlap double, confidence double")
 
 

@@ -38,3 +38,12 @@ def test_ema_counts_every_order(spark, duck, name):
         assert {g: max(e for h, (_, e) in ((k[0], x) for k, x in ema.items()) if h == g) for g, _ in want} == {g: pytest.approx(e, abs=1e-3) for (g, _), (_, e) in got.items()}
     for k, (v, e) in got.items():
         assert v == ema[k][0] and e == pytest.approx(ema[k][1], abs=1e-3)
+
+
+def test_discover_joins_reads_every_value(spark, tmp_path):
+    n = 220_000
+    spark.range(n).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(n).select((n - 1 - F.col("id")).alias("c_custkey"), F.lit("x").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    found = {(r["a"], r["b"]): r for r in queries.QUERIES["discover_joins"](spark, str(tmp_path)).collect()}
+    r = found["crm.customer.c_custkey", "sales.orders.o_custkey"]
+    assert (r["transform"], r["overlap"]) == ("identity", 1.0)
