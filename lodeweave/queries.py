@@ -356,7 +356,7 @@ _sql("json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events",
 def range_join(spark, sf):
     """Intervals [2k, 2k + 3) against points: both sides get buckets of the intervals' width, so the join is on equal keys."""
     width = 3.0
-    points = _t(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_quantity", F.floor(F.col("l_quantity") / width).alias("b"))
+    points = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.floor(F.col("l_quantity") / width).alias("b"))
     spans = _t(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 2).alias("lo"), (F.col("n_nationkey") * 2 + 3).alias("hi"))
     spans = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     return points.join(spans, "b").where("l_quantity >= lo and l_quantity < hi").select("l_orderkey", "l_linenumber", "n_nationkey")

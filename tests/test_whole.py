@@ -40,6 +40,11 @@ def test_ema_counts_every_order(spark, duck, name):
         assert v == ema[k][0] and e == pytest.approx(ema[k][1], abs=1e-3)
 
 
+def test_range_join_takes_every_line(spark, duck):
+    want = duck.sql("select l_orderkey, l_linenumber, n_nationkey from lineitem join nation on l_quantity >= n_nationkey * 2 and l_quantity < n_nationkey * 2 + 3").fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in queries.QUERIES["range_join"](spark, SF).collect())
+
+
 def test_discover_joins_reads_every_value(spark, tmp_path):
     n = 220_000
     spark.range(n).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
