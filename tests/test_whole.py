@@ -52,3 +52,19 @@ def test_discover_joins_reads_every_value(spark, tmp_path):
     found = {(r["a"], r["b"]): r for r in queries.QUERIES["discover_joins"](spark, str(tmp_path)).collect()}
     r = found["crm.customer.c_custkey", "sales.orders.o_custkey"]
     assert (r["transform"], r["overlap"]) == ("identity", 1.0)
+
+
+def customers(spark, path, ids):
+    for t in "region nation supplier part orders lineitem events documents pages conversations".split():
+        (path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    rows = [(i, f"Customer#{i:09d}", i % 25, float(i), "S") for i in ids]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(str(path / "customer.parquet"))
+
+
+def test_zfill_joins_take_long_ids(spark, tmp_path):
+    customers(spark, tmp_path, [1, 2, 100_001, 1_000_002, 10_000_001])
+    rows = lambda name: sorted((r["x"], r["b__y"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    assert rows("join_zfill_5") == [(1, "00001")] * 3 + [(2, "00002")] * 2
+    assert rows("join_zfill_7") == [(1, "0000001")] * 2 + [(2, "0000002"), (100_001, "0100001"), (1_000_002, "1000002")]
+    r = queries.QUERIES["key_grammar"](spark, str(tmp_path)).first()
+    assert (r["rows"], r["keys"]) == (5, 5)
