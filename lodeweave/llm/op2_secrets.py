@@ -74,7 +74,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         _array("__t", ACCESS, "access").alias("__access"),
         _array("__t", HEX, "hex").alias("__hex"),
         _array("__t", IDENTIFIER, "identifier").alias("__identifier"),
-        _array("__t", TOKEN, "token", "length(@m) <= 64 and rlike(@m, '[0-9]') and rlike(@m, '[a-z]') and rlike(@m, '[A-Z]')").alias("__token"),
+        _array("__t", TOKEN, "token", "rlike(@m, '[0-9]') and rlike(@m, '[a-z]') and rlike(@m, '[A-Z]')").alias("__token"),
         _array("__t", ENDPOINT, "endpoint").alias("__endpoint"),
     )
     found = found.withColumn("strong", F.array_sort(F.concat("__assign", "__access", "__hex")))

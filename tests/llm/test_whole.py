@@ -1,6 +1,6 @@
 """Operators on inputs that a cut would lose."""
 
-from lodeweave.llm import op6_licenses
+from lodeweave.llm import op2_secrets, op6_licenses
 
 from .test_exact import frame
 
@@ -20,3 +20,13 @@ def test_licenses_of_a_file_with_several(spark):
     assert all(len({(x["label"], x["start"]) for x in r}) == len(r) for r in found.values())
     for i, t in enumerate(op6_licenses.TEMPLATES):
         assert (t, 0) in {(x["label"], x["start"]) for x in found[2 + i]}
+
+
+def test_long_tokens_beside_an_identifier_are_linked(spark):
+    tokens = ["aB3" * 22, "Zk9/" * 22, "qW7_" * 500]
+    texts = [f"account_id = acme-main then {t} end" for t in tokens] + [f"plain {tokens[0]} end"]
+    rows = {r["doc_id"]: r for r in op2_secrets.scan(frame(spark, texts)).collect()}
+    kinds = {i: [(op2_secrets.KINDS[s["kind"]], s["end"] - s["start"]) for s in r["linked"]] for i, r in rows.items()}
+    assert [dict(kinds[i]).get("token") for i in range(4)] == [66, 88, 2000, None]
+    clean = {r["doc_id"]: r["text"] for r in op2_secrets.redact(frame(spark, texts)).collect()}
+    assert all(t not in clean[i] for i, t in enumerate(tokens)) and clean[3] == texts[3]
