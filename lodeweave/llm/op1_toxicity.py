@@ -112,14 +112,19 @@ def _scores(table: np.ndarray, bias: float, raw: np.ndarray, offsets: np.ndarray
     return 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts and labels of a hash sample of about ``sample`` labelled rows outside the held-out quarter, as ``text`` and ``label``."""
-    usable = (
+def usable_labels(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
+    """``id`` and ``label`` of the labelled rows outside the held-out quarter."""
+    return (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~common.held_out(F.col("id")))
         .groupBy("id")
         .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     )
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts and labels of a hash sample of about ``sample`` labelled rows outside the held-out quarter, as ``text`` and ``label``."""
+    usable = usable_labels(labels, label, doc_id)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000))
     chosen = usable.where(draw < int(1_000_000 * min(1.0, sample / max(1, usable.count()))))
     texts = docs.select(F.col(doc_id).alias("id"), common.whole_text(docs, text).alias("text"))

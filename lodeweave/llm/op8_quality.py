@@ -5,11 +5,14 @@ A document is described by shares that its bytes, words and lines give
 labelled poor; the probability of that is the logistic function of the
 difference of their scores, and scores are linear in the features, so the fit
 is a logistic regression without bias on feature differences. The threshold is
-the score quantile at the share of poor texts in the fitted sample; scores are
-mapped so that the threshold stands at 0.7.
+the score quantile at the share of poor texts, over all labelled rows outside
+the held-out quarter; scores are mapped so that the threshold stands at 0.7.
 
 Bounds: at most about ``sample`` labelled rows outside the held-out quarter are
 read for the fit, and ``pairs`` pairs of them; the model is a few dozen numbers.
+For the threshold every text is scored once more and the scores of the labelled
+ones are written to the shared checkpoint folder; the driver receives counts of
+score bins and the different scores of the one or two bins where it lies.
 
 Defined results: null and empty texts are texts of no words and get that
 score; repeated rows get equal scores; an empty table gives no rows. Where the
@@ -19,7 +22,7 @@ sample lacks good or poor texts there are no pairs, and each score is 0.7 (kept)
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, words
-from .op1_toxicity import hash_order, training_rows
+from .op1_toxicity import hash_order, training_rows, usable_labels
 
 THRESHOLD = 0.7
 SAMPLE = 8_000
 PAIRS = 20_000
+BINS = 256  # for each unit of score
 
 # Classes of bytes.
 _NAMES = ["other", "lower", "upper", "digit", "space", "line", "bar", "bang", "stop", "symbol", "high"]
@@ -135,9 +139,13 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, rounds: int = 200,
     return Model(mean, scale, knots, w, threshold, 6 / spread)
 
 
+def raw_scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return _expand(features(raw, offsets), model) @ model.weight
+
+
 def scores(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """From 0 to 1; the threshold's quantile stands at 0.7."""
-    s = _expand(features(raw, offsets), model) @ model.weight
+    s = raw_scores(model, raw, offsets)
     at = np.log(THRESHOLD / (1 - THRESHOLD))
     # 1e-9: what stands at the threshold is kept, however the logistic function rounds.
     return np.clip(1 / (1 + np.exp(-np.clip(model.slope * (s - model.threshold) + at, -35, 35))) + 1e-9, 0, 1)
@@ -155,7 +163,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     got = training_rows(docs, labels, label, sample, doc_id, text).mapInArrow(describe, "id string, label int, x binary").toArrow()
     order = sorted(range(got.num_rows), key=lambda k: hash_order(got["id"][k].as_py()))
     x = np.array([np.frombuffer(got["x"][k].as_py()) for k in order]).reshape(-1, len(FEATURES))
-    return fit(x, got["label"].to_numpy()[order] == 1, pairs)
+    return calibrated(fit(x, got["label"].to_numpy()[order] == 1, pairs), docs, labels, label, doc_id, text)
+
+
+def calibrated(model: Model, docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
+    """``model`` with its threshold at the exact quantile over all labelled rows outside the held-out quarter."""
+    if not model.weight.any():
+        return model
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "s": pa.array(raw_scores(model, *words.flat(batch.column("text"))))})
+
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("s", T.DoubleType())])
+    rated = docs.select(F.col(doc_id).alias("id"), common.whole_text(docs, text).alias("text")).mapInArrow(rate, schema)
+    rows = common.written(rated.join(usable_labels(labels, label, doc_id), "id").select("s", "label"))
+    place = F.floor(F.col("s") * BINS)
+    bins = rows.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).orderBy("bin").collect()
+    if not bins:
+        return model
+    n, below = sum(b["n"] for b in bins), np.cumsum([b["n"] for b in bins])
+    rank = (1 - sum(b["good"] for b in bins) / n) * (n - 1)
+    low, high = int(rank), min(int(rank) + 1, n - 1)
+    first, last = (int(np.searchsorted(below, r, side="right")) for r in (low, high))
+    near = rows.where(place.isin(bins[first]["bin"], bins[last]["bin"])).groupBy("s").agg(F.count("*").alias("n")).orderBy("s").collect()
+    upto = np.cumsum([r["n"] for r in near]) + (below[first] - bins[first]["n"])
+    a, b = (near[int(np.searchsorted(upto, r, side="right"))]["s"] for r in (low, high))
+    return replace(model, threshold=a + (b - a) * (rank - low))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:

@@ -1,6 +1,11 @@
 """Operators on inputs that a cut would lose."""
 
-from lodeweave.llm import op2_secrets, op6_licenses
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import common, op2_secrets, op6_licenses, op8_quality, words
 
 from .test_exact import frame
 
@@ -30,3 +35,14 @@ def test_long_tokens_beside_an_identifier_are_linked(spark):
     assert [dict(kinds[i]).get("token") for i in range(4)] == [66, 88, 2000, None]
     clean = {r["doc_id"]: r["text"] for r in op2_secrets.redact(frame(spark, texts)).collect()}
     assert all(t not in clean[i] for i, t in enumerate(tokens)) and clean[3] == texts[3]
+
+
+def test_quality_threshold_is_over_all_labels(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta.", "x", "!!", "of", "|"], rng.integers(1, 60))) for _ in range(500)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(t.count("alpha") > t.count("|"))) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = op8_quality.train(docs, labels, sample=60, pairs=500)
+    good = {r["doc_id"]: r["quality"] for r in labels.where(~common.held_out(F.col("doc_id"))).collect()}
+    s = op8_quality._expand(op8_quality.features(*words.flat(pa.array([texts[i] for i in good], pa.string()))), model) @ model.weight
+    assert model.threshold == pytest.approx(float(np.quantile(s, 1 - np.mean(list(good.values())))), abs=1e-6)
