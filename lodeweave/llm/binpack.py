@@ -125,6 +125,8 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[Fil
     """Fillings that hold ``counts[k]`` pieces of each length ``k`` from 1 to ``capacity`` in few bins.
 
     ``nodes`` bounds the branches that are tried; the result is never worse than best fit decreasing.
+    A branch keeps at most 3 completions and leaves their enumeration after 400 steps, so where the
+    result is above ``lower_bound`` there may be a packing in fewer bins.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
