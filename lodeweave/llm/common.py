@@ -22,6 +22,12 @@ def whole_text(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text], F.lit(""))
 
 
+def others(df: DataFrame, outputs: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` that no output replaces; names are alike in either case, as Spark reads them."""
+    taken = {x.lower() for x in outputs}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents whose labels are never learned."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))

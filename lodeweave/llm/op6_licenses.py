@@ -1,23 +1,26 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-``TEMPLATES`` are licence passages as word sequences. Their words form a small
-inverted index: word to (template, position). Document frequencies of these
-words are counted over the whole corpus; a file looks up its ``RARE`` licence
-words of the highest IDF, and each occurrence votes for the place at which its
-template would begin (position in the file less position in the template). A
-place becomes a label only if one of the template's mandatory key phrases stands
-where that place puts it. In a file with several licences the words of one can
-use up the ``RARE``, so every key phrase that stands in a file is a place too;
-one that no rare word voted for counts a single vote. The score alone depends
-on the rare words.
+``TEMPLATES`` are licence passages as word sequences with mandatory key phrases.
+Document frequencies of their words are counted over the whole corpus, and each
+key phrase is indexed under its ``RARE`` words of the highest IDF: word to
+(phrase, position). A file looks up which of these words it holds; for a phrase
+of which it holds all of them, the places that each word's occurrences give the
+phrase (place in the file less position in the phrase) are intersected, and the
+phrase is verified word by word at the places that are left. All words of a
+phrase stand in a file that holds the phrase, so no label is lost, whatever else
+the file holds. A label's score is the share of its whole passage that stands in
+place around the phrase.
 
 The base phrases are matched in every file by themselves, wherever they stand.
 
-Files stay rows: the postings are literals of a fixed size, the frequencies are
+Files stay rows: the index is a literal of a fixed size, the frequencies are
 one row of at most ``len(vocabulary())`` numbers, and nothing else is shuffled.
 
 Defined results: null and empty texts have no words, no places and no labels,
-and score 0; repeated rows give equal rows; an empty table gives no rows.
+and score 0; texts are read whole, however long; words of equal IDF count in
+the order of their names, which changes no result; repeated rows give equal
+rows; an empty table gives no rows; other columns stay, whatever their names,
+unless an output has the name.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "all-rights": ("copyright all rights reserved", ("all rights reserved",)),
 }
 
-RARE = 6
+RARE = 3
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,9 +80,9 @@ def _count(pieces: str) -> Column:
     return F.expr(f"size({pieces}) - case when {pieces}[0] = '' then 1 else 0 end - case when size({pieces}) > 1 and {pieces}[size({pieces}) - 1] = '' then 1 else 0 end").cast("long")
 
 
-def triggers(templates: dict[str, tuple[str, tuple[str, ...]]]) -> list[str]:
-    """The longest word of each base and key phrase: a file that lacks them all has no place and no label."""
-    return sorted({max(p.split(), key=len) for p in [*BASE, *(p for _, keys in templates.values() for p in keys)]})
+def triggers() -> list[str]:
+    """The longest word of each base phrase: a file that lacks them all has no place."""
+    return sorted({max(p.split(), key=len) for p in BASE})
 
 
 def _places(phrase: str, spaced: str, ws: str) -> Column:
@@ -89,11 +92,6 @@ def _places(phrase: str, spaced: str, ws: str) -> Column:
     return F.expr(f"case when contains({spaced}, ' {phrase} ') then filter(sequence(0, size({ws}) - {len(parts)}), i -> {test}) else cast(array() as array<int>) end")
 
 
-def _place(t: int, offset: int):
-    """Where template ``t`` would begin if its key phrase, ``offset`` words in, starts at ``i``."""
-    return lambda i: F.struct(F.lit(t).alias("t"), (i - offset).alias("at"))
-
-
 def frequencies(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES) -> tuple[int, dict[str, int]]:
     """Rows of the whole table, and the rows that hold each licence word; one row of partial counts for each task is all that is shuffled."""
     known = vocabulary(templates)
@@ -102,114 +100,101 @@ def frequencies(df: DataFrame, text: str = "text", templates: dict[str, tuple[st
     return row["n"], {w: row[f"w{i}"] for i, w in enumerate(known)}
 
 
+def _offset(passage: str, phrase: str) -> int:
+    """Where a phrase starts in its passage, in words."""
+    words, parts = passage.split(), phrase.split()
+    return next(k for k in range(len(words)) if words[k : k + len(parts)] == parts)
+
+
+def index(order: dict[str, int], templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES, rare: int = RARE) -> list[tuple[str, int, str, list[tuple[str, int]]]]:
+    """Label, offset in the passage, key phrase and its rarest words with their positions, rarest first; ``order`` gives each word's place by IDF."""
+    out = []
+    for label, (passage, phrases) in templates.items():
+        for phrase in phrases:
+            parts = phrase.split()
+            chosen = sorted(set(parts), key=order.__getitem__)[:rare]
+            out.append((label, _offset(passage, phrase), phrase, [(w, parts.index(w)) for w in chosen]))
+    return out
+
+
 def scan(df: DataFrame, text: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] = TEMPLATES, rare: int = RARE, counts: tuple[int, dict[str, int]] | None = None) -> DataFrame:
-    """``df`` with ``n_words``, ``places`` (starts of base phrases by label), ``found`` (labels of templates, their start and share of votes)."""
+    """``df`` with ``n_words``, ``places`` (starts of base phrases by label), ``found`` (labels of templates, where the passage would start, and the share of it that stands there)."""
     import math
 
     total, having = counts or frequencies(df, text, templates)
-    # Words in the order of their IDF; words of equal IDF by name.
     idf = {w: math.log((1 + total) / (1 + n)) for w, n in having.items()}
     order = {w: k for k, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
-    names = list(templates)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (passage, _) in enumerate(templates.values()):
-        for position, w in enumerate(passage.split()):
-            postings.setdefault(w, []).append((t, position))
-
-    kept = [c for c in df.columns if c not in ("n_words", "places", "found")]
-    empty = "cast(array() as array<struct<label:string,start:int,score:double>>)"
-    known = F.create_map(*(x for w in order for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w])))))
-    out = df.select(*kept, pieces(F.coalesce(df[text], F.lit(""))).alias("__pieces"))
-    out = out.select(*kept, _count("__pieces").alias("n_words"), F.when(F.arrays_overlap("__pieces", F.array(*map(F.lit, triggers(templates)))), F.array_remove("__pieces", "")).alias("__w"))
-    out = out.withColumn("__s", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
-    out = out.withColumns({f"__p{i}": _places(p, "__s", "__w") for i, p in enumerate(BASE)})
-    # Only files with a key phrase of some template can get a label; that is one search for each phrase.
-    phrases = sorted({p for _, keys in templates.values() for p in keys})
-    possible = " or ".join(f"contains(__s, ' {p} ')" for p in phrases)
-    out = out.withColumn("__hit", F.coalesce(F.expr(possible), F.lit(False)))
-    in_order = F.array(*map(F.lit, order))
-    chosen = F.slice(F.array_intersect(in_order, F.col("__w")), 1, rare)
-    out = out.withColumn("__rare", F.when(F.col("__hit"), chosen))
-    # Votes: template and place where it would begin, for each occurrence of a rare word.
-    pairs = F.flatten(F.transform(F.filter(F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("__rare"), x["w"])), lambda x: F.transform(F.element_at(known, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["p"]).alias("at")))))
-    # A column that only a lambda uses would be computed within it, for every word; so the condition uses it too.
-    out = out.withColumn("__votes", F.when(F.col("__hit") & (F.size("__rare") > 0), F.array_sort(pairs)))
-    # Runs of equal votes, in order.
-    runs = F.expr("""
-        aggregate(__votes, named_struct('t', -1, 'at', 0, 'n', 0, 'out', cast(array() as array<struct<n:int,t:int,at:int>>)),
-          (acc, v) -> case
-            when v.t = acc.t and v.at = acc.at then named_struct('t', acc.t, 'at', acc.at, 'n', acc.n + 1, 'out', acc.out)
-            else named_struct('t', v.t, 'at', v.at, 'n', 1, 'out', case when acc.n > 0 then concat(acc.out, array(named_struct('n', acc.n, 't', acc.t, 'at', acc.at))) else acc.out end) end,
-          acc -> case when acc.n > 0 then concat(acc.out, array(named_struct('n', acc.n, 't', acc.t, 'at', acc.at))) else acc.out end)""")
-    out = out.withColumn("__runs", F.when(F.col("__hit"), runs))
-    # Mandatory phrases, verified in place.
-    checks, keyed = [], []
-    for t, (passage, keys) in enumerate(templates.values()):
-        sequence = passage.split()
-        for key in keys:
-            parts = key.split()
-            offset = next(k for k in range(len(sequence)) if sequence[k : k + len(parts)] == parts)
-            # Word by word: a slice would copy the whole array.
-            same = " and ".join(f"get(__w, r.at + {offset + k}) = '{w}'" for k, w in enumerate(parts))
-            checks.append(f"(r.t = {t} and {same})")
-            keyed.append(F.transform(_places(key, "__s", "__w"), _place(t, offset)))
-    labels = F.array(*map(F.lit, names))
-    sizes = F.array(*(F.lit(float(len(p.split()))) for p, _ in templates.values()))
-    out = out.withColumn("__verified", F.when(F.col("__hit"), F.expr(f"filter(__runs, r -> {' or '.join(checks)})")))
-    # Key phrases at places without a vote; array_except leaves each of them once.
-    voted = F.expr("coalesce(transform(__verified, r -> named_struct('t', r.t, 'at', r.at)), array())")
-    missed = F.array_except(F.concat(*keyed), voted.cast("array<struct<t:int,at:int>>"))
-    all_found = F.concat(F.coalesce(F.col("__verified"), F.expr("cast(array() as array<struct<n:int,t:int,at:int>>)")), F.transform(missed, lambda m: F.struct(F.lit(1).alias("n"), m["t"].alias("t"), m["at"].alias("at"))))
-    found = F.transform(all_found, lambda r: F.struct(F.element_at(labels, r["t"] + 1).alias("label"), r["at"].alias("start"), F.least(F.lit(1.0), r["n"] / F.least(F.element_at(sizes, r["t"] + 1), F.lit(float(rare)))).alias("score")))
-    places = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"__p{i}").alias("starts")) for i, label in enumerate(BASE.values())))
-    return out.select(*kept, "n_words", places.alias("places"), F.coalesce(F.when(F.col("__hit"), found), F.expr(empty)).alias("found"))
+    entries = index(order, templates, rare)
+    looked_up = sorted({w for _, _, _, chosen in entries for w, _ in chosen})
+
+    # The input's columns stand in a struct of their own, so that no name of theirs meets one of these.
+    row = F.struct(*(df[c] for c in common.others(df, ("n_words", "places", "found")))).alias("row")
+    out = df.select(row, pieces(F.coalesce(df[text], F.lit(""))).alias("cut"))
+    wanted = F.array(*map(F.lit, sorted({*triggers(), *looked_up})))
+    out = out.select("row", _count("cut").alias("n_words"), F.array_intersect(wanted, "cut").alias("held"), F.array_remove("cut", "").alias("w"))
+    base = F.arrays_overlap("held", F.array(*map(F.lit, triggers())))
+    out = out.withColumn("spaced", F.when(base, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))))
+    out = out.withColumns({f"p{i}": _places(p, "spaced", "w") for i, p in enumerate(BASE)})
+    # Phrases of which the file holds every chosen word.
+    holds = [" and ".join(f"array_contains(held, '{w}')" for w, _ in chosen) for _, _, _, chosen in entries]
+    out = out.withColumn("hit", F.expr(" or ".join(f"({h})" for h in holds)))
+    # Occurrences of chosen words. A column that only a lambda uses would be computed within it, for every word; so the condition uses it too.
+    rare_held = F.array_intersect("held", F.array(*map(F.lit, looked_up)))
+    out = out.withColumn("rare", F.when(F.col("hit"), rare_held))
+    placed = F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    out = out.withColumn("at", F.when(F.col("hit") & (F.size("rare") > 0), F.filter(placed, lambda x: F.array_contains(F.col("rare"), x["w"]))))
+    found = []
+    for (label, offset, phrase, chosen), held in zip(entries, holds, strict=True):
+        # Postings of each chosen word as places of the phrase, intersected.
+        sets = [f"transform(filter(at, x -> x.w = '{w}'), x -> x.i - {p})" for w, p in chosen]
+        both = sets[0]
+        for s in sets[1:]:
+            both = f"array_intersect({both}, {s})"
+        same = " and ".join(f"get(w, i + {k}) = '{x}'" for k, x in enumerate(phrase.split()))
+        passage = templates[label][0].split()
+        share = " + ".join(f"if(get(w, i + {k - offset}) <=> '{x}', 1, 0)" for k, x in enumerate(passage))
+        none = "cast(array() as array<struct<label:string,start:int,score:double>>)"
+        found.append(f"case when hit and {held} then transform(filter({both}, i -> {same}), i -> named_struct('label', '{label}', 'start', i - {offset}, 'score', cast(({share}) / {float(len(passage))} as double))) else {none} end")
+    places = F.array(*(F.struct(F.lit(label).alias("label"), F.col(f"p{i}").alias("starts")) for i, label in enumerate(BASE.values())))
+    return out.select("row.*", "n_words", places.alias("places"), F.expr(f"concat({', '.join(found)})").alias("found"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.flatten(F.transform("places", lambda p: p["starts"]))
     base = F.transform(F.filter("places", lambda p: F.size(p["starts"]) > 0), lambda p: p["label"])
-    found = found.withColumn("__starts", starts).withColumn("__base", base)
+    found = found.withColumn("starts", starts).withColumn("base", base)
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     best = F.array_max(F.transform("found", lambda x: x["score"]))
     return found.select(
         "doc_id",
         "n_words",
-        F.size("__starts").cast("long").alias("n_base"),
-        F.array_min("__starts").cast("long").alias("first_word"),
-        F.array_max("__starts").cast("long").alias("last_word"),
-        joined(F.col("__base")).alias("base_labels"),
-        joined(F.concat("__base", F.transform("found", lambda x: x["label"]))).alias("labels"),
-        F.when(F.size("__base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").cast("long").alias("first_word"),
+        F.array_max("starts").cast("long").alias("last_word"),
+        joined(F.col("base")).alias("base_labels"),
+        joined(F.concat("base", F.transform("found", lambda x: x["label"]))).alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
     )
 
 
 def _oracle() -> str:
-    """SQL for the same rows, with the templates as values."""
-    base = [(p, label) for p, label in BASE.items()]
-    posting = [(w, t, i) for t, (passage, _) in TEMPLATES.items() for i, w in enumerate(passage.split())]
-    size = [(t, min(len(passage.split()), RARE)) for t, (passage, _) in TEMPLATES.items()]
-    key = []
-    for t, (passage, phrases) in TEMPLATES.items():
-        sequence = passage.split()
-        for p in phrases:
-            parts = p.split()
-            key.append((t, next(k for k in range(len(sequence)) if sequence[k : k + len(parts)] == parts), p))
+    """SQL for the same rows from phrases alone, without an index: a label is a key phrase in place."""
+    base = list(BASE.items())
+    key = [(t, _offset(passage, p), len(passage.split()), p) for t, (passage, phrases) in TEMPLATES.items() for p in phrases]
+    word = [(t, i, w) for t, (passage, _) in TEMPLATES.items() for i, w in enumerate(passage.split())]
     values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
     return rf"""
-WITH base(phrase, label) AS (VALUES {values(base)}), posting(word, t, pos) AS (VALUES {values(posting)}),
-size(t, n) AS (VALUES {values(size)}), key(t, offs, phrase) AS (VALUES {values(key)}),
+WITH base(phrase, label) AS (VALUES {values(base)}), key(t, offs, n, phrase) AS (VALUES {values(key)}), word(t, pos, word) AS (VALUES {values(word)}),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
 b AS (SELECT DISTINCT d.doc_id, label, i FROM d JOIN u ON u.doc_id = d.doc_id JOIN base ON split_part(phrase, ' ', 1) = u.word
   WHERE array_to_string(d.w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
 p AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
-v AS (SELECT word, count(DISTINCT doc_id) AS n FROM u WHERE word IN (SELECT word FROM posting) GROUP BY 1),
-r AS (SELECT doc_id, word FROM (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY n, word) AS k FROM (SELECT DISTINCT doc_id, u.word, n FROM u JOIN v ON u.word = v.word)) WHERE k <= {RARE}),
-votes AS (SELECT u.doc_id, t, (i - pos) AS pos, count(*) AS n FROM u JOIN r ON u.doc_id = r.doc_id AND u.word = r.word JOIN posting ON posting.word = u.word GROUP BY 1, 2, 3),
-f AS (SELECT votes.doc_id, votes.t AS label, max(least(1.0, votes.n / size.n::DOUBLE)) AS score FROM votes JOIN key ON key.t = votes.t JOIN size ON size.t = votes.t JOIN d ON d.doc_id = votes.doc_id
-  WHERE pos + offs >= 0 AND array_to_string(d.w[pos + offs + 1 : pos + offs + len(string_split(phrase, ' '))], ' ') = phrase GROUP BY 1, 2),
-l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS score FROM b UNION ALL SELECT * FROM f) GROUP BY 1)
+k AS (SELECT DISTINCT d.doc_id, t, n, i - offs AS start FROM d JOIN u ON u.doc_id = d.doc_id JOIN key ON split_part(phrase, ' ', 1) = u.word
+  WHERE array_to_string(d.w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase),
+f AS (SELECT k.doc_id, k.t AS label, k.start, count(*) / any_value(k.n)::DOUBLE AS score FROM k JOIN word ON word.t = k.t JOIN u ON u.doc_id = k.doc_id AND u.i = k.start + word.pos AND u.word = word.word GROUP BY 1, 2, 3),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM (SELECT doc_id, label, 1.0::DOUBLE AS score FROM b UNION ALL SELECT doc_id, label, score FROM f) GROUP BY 1)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(l.score, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id

@@ -46,3 +46,19 @@ def test_quality_threshold_is_over_all_labels(spark):
     good = {r["doc_id"]: r["quality"] for r in labels.where(~common.held_out(F.col("doc_id"))).collect()}
     s = op8_quality._expand(op8_quality.features(*words.flat(pa.array([texts[i] for i in good], pa.string()))), model) @ model.weight
     assert model.threshold == pytest.approx(float(np.quantile(s, 1 - np.mean(list(good.values())))), abs=1e-6)
+
+
+def test_licenses_of_a_file_with_all(spark):
+    passages = [passage for passage, _ in op6_licenses.TEMPLATES.values()]
+    texts = ["\n".join(passages), " and ".join(x.upper() for x in passages[::-1]), *passages]
+    df = frame(spark, texts).withColumnsRenamed({"source": "W", "extra": "__t"}).withColumn("Found", F.lit(3))
+    found = op6_licenses.scan(df)
+    assert found.columns == ["doc_id", "text", "W", "__t", "n_words", "places", "found"]
+    rows = {r["doc_id"]: r for r in found.collect()}
+    for i in (0, 1):
+        assert {x["label"] for x in rows[i]["found"]} == set(op6_licenses.TEMPLATES)
+    assert all(max(x["score"] for x in r["found"]) == 1.0 for r in rows.values()) and rows[0]["W"] == "kept"
+
+
+def test_licenses_of_an_empty_table(spark):
+    assert op6_licenses.scan(frame(spark, ["a"]).limit(0)).count() == 0
