@@ -45,11 +45,11 @@ def runs(raw: np.ndarray, offsets: np.ndarray, first: np.ndarray | None = None)
 
     ``row``: the text; ``start``: the first start, in the text; ``count``: its
     number of starts; ``back``: bytes from the first start to the anchor;
-    ``anchor``: the anchor's hash; ``whole``: a hash of all that the run's strings
+    ``anchor``: the anchor's hash; ``place``: the first start, in ``raw``; ``whole``: a hash of all that the run's strings
     cover, of ``count`` and of ``back``. ``first`` is added to the starts of each
     text, for texts that are parts.
     """
-    empty = {k: np.zeros(0, dtype=np.uint64 if k in ("anchor", "whole") else np.int64) for k in ("row", "start", "count", "back", "anchor", "whole")}
+    empty = {k: np.zeros(0, dtype=np.uint64 if k in ("anchor", "whole") else np.int64) for k in ("row", "start", "count", "back", "anchor", "place", "whole")}
     if len(raw) < WIDTH:
         return empty
     h = grams(raw)
@@ -69,4 +69,4 @@ def runs(raw: np.ndarray, offsets: np.ndarray, first: np.ndarray | None = None)
     whole = words.hashes(raw, begin, begin + count - 1 + WIDTH, _IDENTITY)
     whole = words.mix(whole + (back * 128 + count).astype(np.uint64) * _STEP)
     shift = first if first is not None else np.zeros(len(offsets) - 1, dtype=np.int64)
-    return {"row": row, "start": begin - offsets[row] + shift[row], "count": count, "back": back, "anchor": h[at], "whole": whole}
+    return {"row": row, "start": begin - offsets[row] + shift[row], "count": count, "back": back, "anchor": h[at], "place": begin, "whole": whole}

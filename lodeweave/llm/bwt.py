@@ -95,12 +95,9 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return interleave, common
 
 
-def repeats(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, place and interval of each suffix that shares its first ``depth`` symbols with another."""
+def intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, place and interval of each suffix; suffixes of one interval share their first ``depth`` symbols."""
     interleave, common = merge(shards, depth)
     place = np.empty(len(interleave), dtype=np.int64)
     place[np.argsort(interleave, kind="stable")] = np.concatenate([s.place for s in shards])
-    same = common >= depth
-    inside = same | np.r_[same[1:], False]
-    interval = np.cumsum(~same)
-    return interleave[inside].astype(np.int64), place[inside], interval[inside]
+    return interleave.astype(np.int64), place, np.cumsum(common < depth) - 1

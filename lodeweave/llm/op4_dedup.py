@@ -1,29 +1,31 @@
 """Suffix-array dedup: bytes covered by a string of ``WIDTH`` that starts earlier too are removed.
 
-1. Each text is cut into runs of starts with a common anchor (``anchors``). Per
-   partition, of equal runs only the earliest goes on; the others repeat it and
-   are removed. One row for each run, keyed by its anchor, is shuffled.
-2. An anchor's runs meet. Equal runs but for the earliest are removed. Where
-   runs differ, strings within them may still be equal: the earliest of each
-   kind are candidates. All other text is done with, and no repeat is lost, since
-   equal strings have equal anchors.
-3. The bytes of the candidates are looked up and dealt by anchor. A task sorts
-   the suffixes of each shard of them once and merges the shards'
-   Burrows-Wheeler transforms by interleave refinement (``bwt``); intervals with
-   a common prefix of ``WIDTH`` are repeats, and all but the earliest are removed.
+1. Each text is cut into runs of starts with a common anchor (``anchors``). One
+   row for each run, keyed by its anchor, is shuffled; of runs of a task that are
+   equal byte by byte the earliest alone goes on, so that a passage or a copy may
+   have any share of the rows.
+2. A run that is alone under its anchor repeats nothing, since equal strings
+   have equal anchors. The places of all others go back to their documents.
+3. The bytes of these runs are dealt by anchor, once for each task's equal ones.
+   A task sorts the suffixes of each shard of the strings it got once and merges
+   the shards' Burrows-Wheeler transforms by interleave refinement (``bwt``).
+   Intervals with a common prefix of ``WIDTH`` are repeats: of all places of an
+   interval's strings the earliest stays. A string that came several times stands
+   in the transforms once, and its places all count.
 4. Each document's removed ranges are joined to its text.
 
-Anchors with very many different runs (over ``MAP_HOT`` in a partition, or
-``HOT`` in all) are not gathered: each of their strings becomes a row of its own,
-keyed by its whole hash, and equal ones are again reduced to the earliest before
-the shuffle. So an anchor, a passage or a copy may have any share of the rows.
-
-Two strings of one anchor count as equal where 64-bit hashes of their bytes are.
+An anchor with very many different runs (over ``MAP_HOT`` in a task, or ``HOT`` in
+all) would fill one task, so its strings are dealt one by one, by a hash of each
+whole string, and go through the same transforms. Hashes only deal strings out
+and name symbols: a range is removed only after its bytes are compared.
 
 Defined results: null and empty texts have no bytes; texts shorter than
-``WIDTH`` lose nothing; rows without an id lose nothing and repeat for nobody;
-rows with one id are one document's versions, and a range that is removed from
-one is removed from each that reaches so far; an empty table gives no rows.
+``WIDTH`` lose nothing; long texts are read in parts that overlap, and whole;
+rows without an id lose nothing and repeat for nobody; rows with one id are one
+document's versions, and a range that is removed from one is removed from each
+that reaches so far; ids that are no integers count in their own order; an empty
+table gives no rows; other columns stay, whatever their names, unless an output
+has the name.
 """
 
 from __future__ import annotations
@@ -40,14 +42,17 @@ from . import anchors, bwt, common, words
 from .anchors import K, WIDTH
 
 PART = 1 << 20
-FLUSH = 2_000_000
-MAP_HOT, HOT = 256, 4096
+FLUSH_BYTES = 24 << 20
+CHUNK_ROWS = 1 << 18
+MAP_HOT, HOT = 64, 4096
 GROUP_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 DEPTH = WIDTH // bwt.STRIDE
 
 _RUN, _GONE, _ASK, _MARK = 0, 1, 2, 3
 _RUNS = "key long, whole long, doc long, start long, info int"
 _FOUND = "doc long, start long, size int, info int"
+_STRINGS = "key long, doc long, start long, size int, info int, bytes binary"
+_RANGES = "doc long, start long, size int"
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -77,11 +82,40 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(doc: np.ndarray, start: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in the order of ``keys``, ``doc`` and ``start``: the first of each key, and those at another place than it."""
-    first = _first_of(*keys)
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-    return first, (doc != doc[lead]) | (start != start[lead])
+def _lead(first: np.ndarray) -> np.ndarray:
+    """For each row the last row at or before it that is a first."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+
+
+def _same(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+    """Whether ``size`` bytes, at least one, from ``a`` and from ``b`` on are equal."""
+    out = np.zeros(len(a), dtype=bool)
+    stop = np.cumsum(size)
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + block, side="right")))
+        begin = stop[i:j] - size[i:j]
+        step = np.arange(stop[j - 1] - begin[0]) - np.repeat(begin - begin[0], size[i:j])
+        unlike = raw[np.repeat(a[i:j], size[i:j]) + step] != raw[np.repeat(b[i:j], size[i:j]) + step]
+        out[i:j] = np.add.reduceat(unlike, begin - begin[0], dtype=np.int64) == 0
+        i = j
+    return out
+
+
+def _combined(raw: np.ndarray, r: dict[str, np.ndarray], size: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows of ``key, whole, doc, start, place`` in that order, those that go on, and those equal byte by byte to one that goes on and starts earlier.
+
+    A row that repeats another's place goes nowhere.
+    """
+    order = np.lexsort((r["start"], r["doc"], r["whole"], r["key"]))
+    r, size = {k: v[order] for k, v in r.items()}, size[order]
+    first = _first_of(r["key"], r["whole"])
+    lead = _lead(first)
+    moved = (r["doc"] != r["doc"][lead]) | (r["start"] != r["start"][lead])
+    asked = np.flatnonzero(~first)
+    like = np.zeros(len(first), dtype=bool)
+    like[asked] = (size[asked] == size[lead[asked]]) & _same(raw, r["place"][asked], r["place"][lead[asked]], np.minimum(size[asked], size[lead[asked]]))
+    return r, first | ~like, like & moved
 
 
 def _parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -95,29 +129,32 @@ def _parts(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield piece, np.array([0, len(piece)]), np.array([r]), np.array([s])
 
 
+def _spread(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys for rows that only pass through: anything that spreads them."""
+    return words.mix(doc.view(np.uint64) * np.uint64(31) + start.view(np.uint64))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 1: ``_RUNS`` rows of a partition."""
+    """Step 1: ``_RUNS`` rows of a task."""
     held: list[dict[str, np.ndarray]] = []
+    raws: list[np.ndarray] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         r = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        order = np.lexsort((r["start"], r["doc"], r["whole"], r["anchor"]))
-        r = {k: v[order] for k, v in r.items()}
-        first, later = _repeats(r["doc"], r["start"], r["anchor"], r["whole"])
+        raw = np.concatenate(raws)
+        r["key"] = r.pop("anchor")
+        r, stay, later = _combined(raw, r, r["count"] + WIDTH - 1)
         doc, a, b = _united(r["doc"][later], r["start"][later], (r["start"] + r["count"] + WIDTH - 1)[later])
         if len(doc):
-            # Anything spreads these rows; they pass through.
-            yield _batch(key=words.mix(doc.view(np.uint64) * np.uint64(31) + a.view(np.uint64)), whole=b - a, doc=doc, start=a, info=np.full(len(doc), _GONE << 16, dtype=np.int32))
-        r = {k: v[first] for k, v in r.items()}
-        begin = np.flatnonzero(_first_of(r["anchor"]))
-        kinds = np.diff(np.r_[begin, len(r["anchor"])])
+            yield _batch(key=_spread(doc, a), whole=b - a, doc=doc, start=a, info=np.full(len(doc), _GONE << 16, dtype=np.int32))
+        r = {k: v[stay] for k, v in r.items()}
+        begin = np.flatnonzero(_first_of(r["key"]))
+        kinds = np.diff(np.r_[begin, len(r["key"])])
         hot = np.repeat(kinds > MAP_HOT, kinds)
-        spread = words.mix(r["doc"].view(np.uint64) * np.uint64(31) + r["start"].view(np.uint64))
-        kind = np.where(hot, _ASK, _RUN)
-        info = (r["count"] | r["back"] << 8 | kind << 16).astype(np.int32)
-        yield _batch(key=np.where(hot, spread, r["anchor"]), whole=r["whole"], doc=r["doc"], start=r["start"], info=info)
-        marks = r["anchor"][begin][kinds > MAP_HOT]
+        info = (r["count"] | r["back"] << 8 | np.where(hot, _ASK, _RUN) << 16).astype(np.int32)
+        yield _batch(key=np.where(hot, _spread(r["doc"], r["start"]), r["key"]), whole=np.zeros(len(info), dtype=np.int64), doc=r["doc"], start=r["start"], info=info)
+        marks = r["key"][begin][kinds > MAP_HOT]
         if len(marks):
             none = np.zeros(len(marks), dtype=np.int64)
             yield _batch(key=marks, whole=none, doc=none, start=none, info=np.full(len(marks), _MARK << 16, dtype=np.int32))
@@ -127,108 +164,139 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, offsets, row, first in _parts(*words.flat(batch.column("text"))):
             found = anchors.runs(raw, offsets, first)
             if len(found["row"]):
-                doc = ids[row[found.pop("row")]]
-                held.append(found | {"doc": doc})
-                size += len(doc)
-        if size > FLUSH:
-            yield from flush()
-            held, size = [], 0
+                found["doc"] = ids[row[found.pop("row")]]
+                found["place"] = found["place"] + size
+                held.append(found)
+                raws.append(raw)
+                size += len(raw)
+            if size > FLUSH_BYTES:
+                yield from flush()
+                held, raws, size = [], [], 0
     if held:
         yield from flush()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int | None = None) -> Iterator[pa.Table]:
+    """Small batches as tables of about ``rows`` rows, or ``size`` bytes."""
+    got, n, held = [], 0, 0
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+            n += b.num_rows
+            held += b.nbytes
+        if n >= rows or (size and held >= size):
+            yield pa.Table.from_batches(got)
+            got, n, held = [], 0, 0
+    if got:
+        yield pa.Table.from_batches(got)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: ``_FOUND`` rows: ranges that are removed (info 0), and candidates (info: count, back, and 1 << 16 for the strings of hot anchors)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    del got
-    r = {c: table[c].to_numpy() for c in table.column_names}
-    del table
-    kind = r["info"] >> 16
-    gone = kind == _GONE
-    if gone.any():
-        yield _batch(doc=r["doc"][gone], start=r["start"][gone], size=r["whole"][gone].astype(np.int32), info=np.zeros(int(gone.sum()), dtype=np.int32))
-    ask = kind == _ASK
-    if ask.any():
-        yield _batch(doc=r["doc"][ask], start=r["start"][ask], size=np.zeros(int(ask.sum()), dtype=np.int32), info=(r["info"][ask] & 0xFFFF) | 1 << 16)
-    rest = ~gone & ~ask
-    r = {k: v[rest] for k, v in r.items()}
-    if not len(r["key"]):
-        return
-    order = np.lexsort((r["start"], r["doc"], r["whole"], r["key"]))
-    r = {k: v[order] for k, v in r.items()}
-    marks = (r["info"] >> 16) == _MARK
-    marked = np.isin(r["key"], r["key"][marks]) if marks.any() else marks
-    r, marked = {k: v[~marks] for k, v in r.items()}, marked[~marks]
-    if not len(r["key"]):
-        return
-    first, later = _repeats(r["doc"], r["start"], r["key"], r["whole"])
-    count = r["info"] & 0xFF
-    if later.any():
-        yield _batch(doc=r["doc"][later], start=r["start"][later], size=(count + WIDTH - 1)[later].astype(np.int32), info=np.zeros(int(later.sum()), dtype=np.int32))
-    r, marked = {k: v[first] for k, v in r.items()}, marked[first]
-    begin = np.flatnonzero(_first_of(r["key"]))
-    kinds = np.diff(np.r_[begin, len(r["key"])])
-    several = np.repeat(kinds, kinds)
-    asked = (several > 1) | marked
-    hot = (several > HOT) | marked
-    if asked.any():
-        yield _batch(doc=r["doc"][asked], start=r["start"][asked], size=np.zeros(int(asked.sum()), dtype=np.int32), info=((r["info"] & 0xFFFF) | hot.astype(np.int32) << 16)[asked])
+    """Step 2, over rows in the order of keys: ``_FOUND`` rows: ranges that are removed (info 0), and runs that aren't alone (info: count, back, and 1 << 16 for those of hot anchors)."""
+    names = ("key", "doc", "start", "info")
+    none = {k: np.zeros(0, dtype=np.int32 if k == "info" else np.int64) for k in names}
+    carry, known_hot = none, None
+
+    def asked(r: dict[str, np.ndarray], hot: np.ndarray) -> pa.RecordBatch:
+        return _batch(doc=r["doc"], start=r["start"], size=np.zeros(len(hot), dtype=np.int32), info=(r["info"] & 0xFFFF) | hot.astype(np.int32) << 16)
+
+    def groups(r: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(_first_of(r["key"]))
+        size = np.diff(np.r_[begin, len(r["key"])])
+        mark = (r["info"] >> 16) == _MARK
+        marked = np.repeat(np.add.reduceat(mark, begin, dtype=np.int64) > 0, size)
+        keep = ((np.repeat(size, size) > 1) | marked) & ~mark
+        hot = marked | (np.repeat(size, size) > HOT)
+        if keep.any():
+            yield asked({k: v[keep] for k, v in r.items()}, hot[keep])
+
+    for table in _chunks(batches, CHUNK_ROWS):
+        kind = table["info"].to_numpy() >> 16
+        r = {k: table[k].to_numpy() for k in names}
+        gone, ask = kind == _GONE, kind == _ASK
+        if gone.any():
+            yield _batch(doc=r["doc"][gone], start=r["start"][gone], size=table["whole"].to_numpy()[gone].astype(np.int32), info=np.zeros(int(gone.sum()), dtype=np.int32))
+        if ask.any():
+            yield asked({k: v[ask] for k, v in r.items()}, np.ones(int(ask.sum()), dtype=bool))
+        r = {k: np.concatenate([carry[k], v[~gone & ~ask]]) for k, v in r.items()}
+        if known_hot is not None:
+            on = (r["key"] == known_hot) & ((r["info"] >> 16) != _MARK)
+            if on.any():
+                yield asked({k: v[on] for k, v in r.items()}, np.ones(int(on.sum()), dtype=bool))
+            r = {k: v[r["key"] != known_hot] for k, v in r.items()}
+        if not len(r["key"]):
+            carry = none
+            continue
+        last = int(np.flatnonzero(_first_of(r["key"]))[-1])
+        if last:
+            yield from groups({k: v[:last] for k, v in r.items()})
+        carry = {k: v[last:] for k, v in r.items()}
+        if len(carry["key"]) > HOT:  # a key of unknown length: its rows need not be held
+            known_hot = carry["key"][0]
+            on = (carry["info"] >> 16) != _MARK
+            yield asked({k: v[on] for k, v in carry.items()}, np.ones(int(on.sum()), dtype=bool))
+            carry = none
+    if len(carry["key"]):
+        yield from groups(carry)
 
 
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3a: the bytes of a document's candidates, keyed by anchor; ``bytes`` is null for a string of a hot anchor, keyed by its own hash."""
-    seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
+    """Step 3a: the bytes of runs, keyed by anchor, and of strings of hot anchors, keyed by their own hash; info is the number of starts, or -1 for a range that is removed."""
+    held: list[dict[str, np.ndarray]] = []
+    raws: list[np.ndarray] = []
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, doc, start = (np.concatenate([s[i] for s in seen]) for i in range(3))
-        order = np.lexsort((start, doc, key))
-        key, doc, start = key[order], doc[order], start[order]
-        first, later = _repeats(doc, start, key)
-        d, a, b = _united(doc[later], start[later], start[later] + WIDTH)
-        # These are removed whatever else is found: info -1.
-        for x, y, z, info in ((key[first], doc[first], start[first], np.full(int(first.sum()), -2, dtype=np.int32)), (words.mix(d.view(np.uint64) + a.view(np.uint64)), d, a, None)):
-            if len(x):
-                n = len(x)
-                size = np.zeros(n, dtype=np.int64) if info is not None else b - a
-                yield pa.RecordBatch.from_pydict({"key": pa.array(x.view(np.int64)), "doc": pa.array(y), "start": pa.array(z), "size": pa.array(size.astype(np.int32)), "info": pa.array(info if info is not None else np.full(n, -1, dtype=np.int32)), "bytes": pa.nulls(n, pa.binary())})
+        raw = np.concatenate(raws)
+        r = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        r, stay, later = _combined(raw, r, r["count"] + WIDTH - 1)
+        doc, a, b = _united(r["doc"][later], r["start"][later], (r["start"] + r["count"] + WIDTH - 1)[later])
+        if len(doc):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(_spread(doc, a).view(np.int64)), "doc": pa.array(doc), "start": pa.array(a), "size": pa.array((b - a).astype(np.int32)), "info": pa.array(np.full(len(doc), -1, dtype=np.int32)), "bytes": pa.nulls(len(doc), pa.binary())})
+        data = raw.tobytes()
+        rows = np.flatnonzero(stay)
+        for i in range(0, len(rows), 1 << 16):
+            at = rows[i : i + (1 << 16)]
+            count, place = r["count"][at], r["place"][at]
+            cut = [data[x:y] for x, y in zip(place.tolist(), (place + count + WIDTH - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(r["key"][at].view(np.int64)), "doc": pa.array(r["doc"][at]), "start": pa.array(r["start"][at]), "size": pa.array(np.zeros(len(at), dtype=np.int32)), "info": pa.array(count.astype(np.int32)), "bytes": pa.array(cut, pa.binary())})
 
     for batch in common.slices(batches, "text", PART):
         raw, offsets = words.flat(batch.column("text"))
-        data = raw.tobytes()
-        asked = batch.column("asked")
-        flat = asked.flatten()
-        owner = np.repeat(np.arange(len(offsets) - 1), asked.value_lengths().to_numpy(zero_copy_only=False))
+        runs = batch.column("asked")
+        flat = runs.flatten()
+        owner = np.repeat(np.arange(len(offsets) - 1), runs.value_lengths().to_numpy(zero_copy_only=False))
         start, info = flat.field("start").to_numpy(zero_copy_only=False), flat.field("info").to_numpy(zero_copy_only=False).astype(np.int64)
         at = offsets[owner] + start
         count, back, hot = info & 0xFF, info >> 8 & 0xFF, info >> 16 == 1
         inside = at + count + WIDTH - 1 <= offsets[owner + 1]  # versions of a document may be shorter
         doc = batch.column("doc").to_numpy()[owner]
-        own = np.flatnonzero(~hot & inside)
-        if len(own):
-            anchor = at[own] + back[own]
-            order = np.argsort(anchor, kind="stable")
-            key = np.empty(len(own), dtype=np.uint64)
-            key[order] = words.hashes(raw, anchor[order], anchor[order] + K, anchors._IDENTITY)
-            cut = [data[a:b] for a, b in zip(at[own].tolist(), (at + count + WIDTH - 1)[own].tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "doc": pa.array(doc[own]), "start": pa.array(start[own]), "size": pa.array(np.zeros(len(own), dtype=np.int32)), "info": pa.array(count[own].astype(np.int32)), "bytes": pa.array(cut, pa.binary())})
-        far = np.flatnonzero(hot & inside)
-        if len(far):
-            n = count[far]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(at[far], n) + step
-            order = np.argsort(place, kind="stable")
-            key = np.empty(len(place), dtype=np.uint64)
-            key[order] = words.hashes(raw, place[order], place[order] + WIDTH, anchors._IDENTITY)
-            seen.append((key, np.repeat(doc[far], n), np.repeat(start[far], n) + step))
-            held += len(key)
-            if held > FLUSH:
-                yield from flush()
-                seen, held = [], 0
-    if seen:
+        for own in (np.flatnonzero(~hot & inside), np.flatnonzero(hot & inside)):
+            if not len(own):
+                continue
+            own = own[np.argsort(at[own], kind="stable")]
+            place, n, d, s, anchor = at[own], count[own], doc[own], start[own], (at + back)[own]
+            if hot[own[0]]:  # string by string
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                place, d, s = np.repeat(place, n) + step, np.repeat(d, n), np.repeat(s, n) + step
+                n = np.ones(len(place), dtype=np.int64)
+                order = np.argsort(place, kind="stable")
+                place, d, s = place[order], d[order], s[order]
+            whole = words.hashes(raw, place, place + n + WIDTH - 1, anchors._IDENTITY)
+            if hot[own[0]]:
+                key = whole
+            else:
+                order = np.argsort(anchor, kind="stable")
+                key = np.empty(len(own), dtype=np.uint64)
+                key[order] = words.hashes(raw, anchor[order], anchor[order] + K, anchors._IDENTITY)
+            held.append({"key": key, "whole": whole, "doc": d, "start": s, "count": n, "place": place + size})
+        if len(owner):
+            raws.append(raw)
+            size += len(raw)
+        if size > FLUSH_BYTES and held:
+            yield from flush()
+            held, raws, size = [], [], 0
+    if held:
         yield from flush()
 
 
@@ -241,8 +309,8 @@ def _symbols(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(strings: list[bytes], count: np.ndarray, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strings, starts (below each string's ``count``) and intervals of the repeats of ``WIDTH`` bytes, by merged transforms."""
+def repeated(strings: list[bytes], count: np.ndarray, times: np.ndarray | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings, starts (below each string's ``count``) and intervals of the repeats of ``WIDTH`` bytes, by merged transforms; a string that stands for several ``times`` repeats by itself."""
     lengths = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(lengths)
     raw = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
@@ -256,63 +324,108 @@ def repeated(strings: list[bytes], count: np.ndarray, shard_bytes: int = SHARD_B
         shards.append(bwt.Shard.of(code[begin : ends[stop]], offsets - begin))
         base.append(begin)
         first, begin = stop + 1, int(ends[stop])
-    home, place, interval = bwt.repeats(shards, DEPTH)
+    home, place, interval = bwt.intervals(shards, DEPTH)
     place = place + np.array(base)[home]
     which = np.searchsorted(ends, place, side="right")
     start = place - (ends - lengths)[which]
     own = start < count[which]
-    return which[own], start[own], interval[own]
+    which, start, interval = which[own], start[own], interval[own]
+    standing = np.bincount(interval, weights=None if times is None else times[which])
+    several = standing[interval] > 1
+    return which[several], start[several], interval[several]
+
+
+def _resolve(text: pa.ChunkedArray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Step 3b for whole keys: ranges that are removed."""
+    coded = text.combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.chunk(0)
+    code, strings = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    count = np.array([len(s) - WIDTH + 1 for s in strings])
+    order = np.lexsort((start, doc, code))
+    code, doc, start = code[order], doc[order], start[order]
+    first = _first_of(code)
+    moved = _first_of(code, doc, start)  # a place that came twice counts once
+    lead = np.flatnonzero(first)
+    which, offset, interval = repeated(strings, count, np.add.reduceat(moved, lead, dtype=np.int64))
+    # The earliest place of each interval's strings stays.
+    d, s = doc[lead][which], start[lead][which] + offset
+    order = np.lexsort((s, d, interval))
+    which, offset, interval, d, s = (x[order] for x in (which, offset, interval, d, s))
+    top = _lead(_first_of(interval))
+    later = np.flatnonzero((d != d[top]) | (s != s[top]))
+    begin = np.r_[0, np.cumsum([len(x) for x in strings])]
+    raw = np.frombuffer(b"".join(strings), dtype=np.uint8)
+    same = _same(raw, (begin[which] + offset)[later], (begin[which] + offset)[top[later]], np.full(len(later), WIDTH))
+    later = later[same]
+    a, b, c = [d[later]], [s[later]], [s[later] + WIDTH]
+    # Further places of a string: all its starts are in intervals with the earliest one's.
+    more = moved & ~first
+    a.append(doc[more])
+    b.append(start[more])
+    c.append(start[more] + (count + WIDTH - 1)[code[more]])
+    x, y, z = _united(np.concatenate(a), np.concatenate(b), np.concatenate(c))
+    if len(x):
+        yield _batch(doc=x, start=y, size=(z - y).astype(np.int32))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3b: ranges that are removed."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    del got
-    info = table["info"].to_numpy()
-    ready = info == -1
-    if ready.any():
-        own = table.filter(pa.array(ready))
-        yield pa.RecordBatch.from_pydict({"doc": own["doc"].combine_chunks(), "start": own["start"].combine_chunks(), "size": own["size"].combine_chunks()})
-    single = table.filter(pa.array(info == -2))
-    if single.num_rows:
-        key, doc, start = (single[c].to_numpy() for c in ("key", "doc", "start"))
-        order = np.lexsort((start, doc, key))
-        key, doc, start = key[order], doc[order], start[order]
-        _, later = _repeats(doc, start, key)
-        yield _batch(doc=doc[later], start=start[later], size=np.full(int(later.sum()), WIDTH, dtype=np.int32))
-    table = table.filter(pa.array(info >= 0)).sort_by([("key", "ascending"), ("doc", "ascending"), ("start", "ascending")])
-    if not table.num_rows:
-        return
-    key, doc, start, count = (table[c].to_numpy() for c in ("key", "doc", "start", "info"))
-    size = np.cumsum(count + WIDTH)
-    begins = np.flatnonzero(_first_of(key))
-    a = 0
-    while a < len(key):  # whole anchors, about GROUP_BYTES of them
-        k = int(np.searchsorted(begins, np.searchsorted(size, (size[a - 1] if a else 0) + GROUP_BYTES)))
-        b = int(begins[k]) if k < len(begins) else len(key)
-        b = b if b > a else (int(begins[begins > a][0]) if (begins > a).any() else len(key))
-        which, offset, interval = repeated(table["bytes"].slice(a, b - a).to_pylist(), count[a:b])
-        d, s = doc[a:b][which], start[a:b][which] + offset
-        order = np.lexsort((s, d, interval))
-        d, s, interval = d[order], s[order], interval[order]
-        _, later = _repeats(d, s, interval)
-        d, s, e = _united(d[later], s[later], s[later] + WIDTH)
-        yield _batch(doc=d, start=s, size=(e - s).astype(np.int32))
-        a = b
-
-
-def removed_ranges(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, start, size`` of the byte ranges that are removed; ranges of a document may overlap."""
-    spark = df.sparkSession
+    """Step 3b, over rows in the order of keys."""
+    carry: pa.Table | None = None
+
+    def several(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = table["key"].to_numpy()
+        first = _first_of(key)
+        alone = first & np.r_[first[1:], True]
+        table = table.filter(pa.array(~alone))
+        if table.num_rows:
+            yield from _resolve(table["bytes"], table["doc"].to_numpy(), table["start"].to_numpy())
+
+    for table in _chunks(batches, CHUNK_ROWS, GROUP_BYTES):
+        ready = table["info"].to_numpy() == -1
+        if ready.any():
+            own = table.filter(pa.array(ready)).combine_chunks()
+            yield _batch(**{c: own[c].to_numpy() for c in ("doc", "start", "size")})
+            table = table.filter(pa.array(~ready))
+        table = pa.concat_tables([carry, table]) if carry is not None else table
+        carry = None
+        if not table.num_rows:
+            continue
+        last = int(np.flatnonzero(_first_of(table["key"].to_numpy()))[-1])
+        if last:
+            yield from several(table.slice(0, last))
+        carry = table.slice(last).combine_chunks()
+        if carry.num_rows > 2 * HOT:  # one string from very many tasks: its earliest place goes on
+            doc, start = carry["doc"].to_numpy(), carry["start"].to_numpy()
+            coded = carry["bytes"].combine_chunks().dictionary_encode()
+            code = (coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded).indices.to_numpy()
+            order = np.lexsort((start, doc, code))
+            first = _first_of(code[order])
+            if int(first.sum()) <= HOT:
+                top, moved = order[_lead(first)], ~first
+                away = moved & ((doc[order] != doc[top]) | (start[order] != start[top]))
+                size = carry["info"].to_numpy()[order] + WIDTH - 1
+                yield _batch(doc=doc[order][away], start=start[order][away], size=size[away].astype(np.int32))
+                carry = carry.take(pa.array(order[first]))
+    if carry is not None and carry.num_rows:
+        yield from several(carry)
+
+
+def _numbered(df: DataFrame, doc_id: str) -> DataFrame:
+    """``id`` and ``doc``, a number in the same order, for ids that are no integers."""
+    return common.written(df.select(F.col(doc_id).alias("id")).where("id is not null").distinct().orderBy("id").withColumn("doc", F.monotonically_increasing_id()))
+
+
+def removed_ranges(docs: DataFrame) -> DataFrame:
+    """``doc, start, size`` of the byte ranges of ``doc`` (long) and ``text`` that are removed; ranges of a document may overlap."""
+    spark = docs.sparkSession
     common.small_batches(spark)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(text, F.lit("")).alias("text")).where(F.col("doc").isNotNull())
-    found = common.written(docs.mapInArrow(_scan, _RUNS).repartition("key").mapInArrow(_meet, _FOUND))
+    docs = docs.select("doc", F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
+    runs = docs.mapInArrow(_scan, _RUNS).repartition("key").sortWithinPartitions("key")
+    found = common.written(runs.mapInArrow(_meet, _FOUND))
     asked = found.where("info > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "info")).alias("asked"))
-    bytes_of = docs.join(asked, "doc").mapInArrow(_look_up, "key long, doc long, start long, size int, info int, bytes binary")
-    merged = common.written(bytes_of.repartition("key").mapInArrow(_merge, "doc long, start long, size int"))
+    strings = docs.join(asked, "doc").mapInArrow(_look_up, _STRINGS).repartition("key").sortWithinPartitions("key")
+    merged = common.written(strings.mapInArrow(_merge, _RANGES))
     return found.where("info = 0").select("doc", "start", "size").unionAll(merged)
 
 
@@ -321,15 +434,23 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: str =
 
     ``as_text``: as a text, without the bytes of characters that a cut left incomplete.
     """
-    gone = removed_ranges(df, doc_id, text).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("__gone"))
     outputs = ("n_bytes", "n_removed", "n_spans", kept)
-    columns = [c for c in df.columns if c not in outputs or c == text]
-    schema = T.StructType([*(df.schema[c] for c in columns), *(T.StructField(c, T.LongType()) for c in outputs[:3]), T.StructField(kept, T.StringType() if as_text else T.BinaryType())])
+    columns = common.others(df, outputs)
+    # The input's columns stand in a struct, so that no name of theirs meets one of these.
+    row = F.struct(F.lit(0).alias("none"), *(df[c] for c in columns if c != text)).alias("row")
+    plain = df.select(row, df[doc_id].alias("id"), df[text].alias("text"))
+    if isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        plain = plain.select("row", F.col("id").cast("long").alias("doc"), "text")
+    else:
+        plain = plain.join(_numbered(df, doc_id), "id", "left").select("row", "doc", "text")
+    gone = removed_ranges(plain.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
+    joined = plain.join(gone, "doc", "left").select("row", "text", "gone")
+    schema = T.StructType([joined.schema["row"], joined.schema["text"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text, PART):
-            raw, offsets = words.flat(batch.column(text))
-            column = batch.column("__gone")
+        for batch in common.slices(batches, "text", PART):
+            raw, offsets = words.flat(batch.column("text"))
+            column = batch.column("gone")
             flat = column.flatten()
             row = np.repeat(np.arange(len(offsets) - 1), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             start, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "size"))
@@ -342,16 +463,18 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", kept: str =
             stay = np.cumsum(change[: len(raw)]) == 0
             left = raw[stay].tobytes()
             bounds = np.r_[0, np.cumsum(stay)][offsets].tolist()
-            out = {c: batch.column(c) for c in columns}
-            out["n_bytes"] = pa.array(length)
-            out["n_removed"] = pa.array(np.bincount(row, b - a, minlength=len(length)).astype(np.int64))
-            out["n_spans"] = pa.array(np.bincount(row, minlength=len(length)))
             cut = [left[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            out[kept] = pa.array([x.decode("utf-8", "ignore") for x in cut], pa.string()) if as_text else pa.array(cut, pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
-
-    joined = df.select(*columns).join(gone, df[doc_id].cast("long") == gone["doc"], "left").drop("doc")
-    return joined.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_pydict({
+                "row": batch.column("row"),
+                "text": batch.column("text"),
+                "n_bytes": pa.array(length),
+                "n_removed": pa.array(np.bincount(row, b - a, minlength=len(length)).astype(np.int64)),
+                "n_spans": pa.array(np.bincount(row, minlength=len(length))),
+                "kept": pa.array([x.decode("utf-8", "ignore") for x in cut], pa.string()) if as_text else pa.array(cut, pa.binary()),
+            })
+
+    out = joined.mapInArrow(run, schema)
+    return out.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

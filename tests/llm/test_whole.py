@@ -5,9 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.llm import common, op2_secrets, op6_licenses, op8_quality, words
+from lodeweave.llm import common, op2_secrets, op4_dedup, op6_licenses, op8_quality, words
 
-from .test_exact import frame
+from .test_exact import frame, repeated
 
 SEVERAL = [
     "This work is licensed under the GNU General Public License, version 3.\nLicensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.\nCopyright, all rights reserved.",
@@ -62,3 +62,25 @@ def test_licenses_of_a_file_with_all(spark):
 
 def test_licenses_of_an_empty_table(spark):
     assert op6_licenses.scan(frame(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_dedup_of_ids_that_are_no_integers_and_clashing_names(spark):
+    passage = "a passage of words that comes again in another document and is longer than a hundred bytes, by some way " * 2
+    rows = [("b", f"x {passage} y", 1, "r", 0), ("a", passage, 2, "s", 0), (None, passage, 3, "t", 0), ("c", None, 4, "u", 0)]
+    df = spark.createDataFrame(rows, "name string, text string, doc int, row string, gone int")
+    out = op4_dedup.dedup(df, doc_id="name")
+    assert out.columns == ["name", "text", "doc", "row", "gone", "n_bytes", "n_removed", "n_spans", "kept"]
+    got = {r["doc"]: r for r in out.collect()}
+    first = repeated([("a", passage.encode()), ("b", f"x {passage} y".encode())])
+    assert {r["name"]: r["n_removed"] for r in got.values()} == {"a": first["a"][1], "b": first["b"][1], None: 0, "c": 0}
+    assert got[1]["row"] == "r" and got[4]["text"] is None and got[4]["kept"] == b""
+
+
+def test_dedup_of_texts_of_megabytes(spark):
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"abcdefgh \n", dtype=np.uint8)
+    big = rng.choice(letters, 2_300_000).tobytes().decode()
+    again = big[1_048_000:1_049_500] + "-" + big[2_200_000:2_200_300]
+    docs = [big, again, "short", "ab" * 700_000]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in op4_dedup.dedup(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {0: (2_300_000, 0, 0), 1: (1801, 1800, 2), 2: (5, 0, 0), 3: (1_400_000, 1_399_998, 1)}
