@@ -421,11 +421,10 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select("doc", F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
-    runs = docs.mapInArrow(_scan, _RUNS).repartition("key").sortWithinPartitions("key")
-    found = common.written(runs.mapInArrow(_meet, _FOUND))
+    # No name holds on to a table that is written, so its shuffle files can go.
+    found = common.written(docs.mapInArrow(_scan, _RUNS).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, _FOUND))
     asked = found.where("info > 0").groupBy("doc").agg(F.collect_list(F.struct("start", "info")).alias("asked"))
-    strings = docs.join(asked, "doc").mapInArrow(_look_up, _STRINGS).repartition("key").sortWithinPartitions("key")
-    merged = common.written(strings.mapInArrow(_merge, _RANGES))
+    merged = common.written(docs.join(asked, "doc").mapInArrow(_look_up, _STRINGS).repartition("key").sortWithinPartitions("key").mapInArrow(_merge, _RANGES))
     return found.where("info = 0").select("doc", "start", "size").unionAll(merged)
 
 
