@@ -53,6 +53,43 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(start, n - start)
 
 
+def chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int | None = None) -> Iterator[pa.Table]:
+    """Small batches as tables of about ``rows`` rows, or ``size`` bytes."""
+    got, n, held = [], 0, 0
+    for b in batches:
+        if b.num_rows:
+            got.append(b)
+            n += b.num_rows
+            held += b.nbytes
+        if n >= rows or (size and held >= size):
+            yield pa.Table.from_batches(got)
+            got, n, held = [], 0, 0
+    if got:
+        yield pa.Table.from_batches(got)
+
+
+#: Keys that ``looked_up`` takes as hot, at most, and the rows that a key may always have.
+HOT_KEYS, KEY_ROWS = 10_000, 4_096
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """``left`` joined to ``right`` by ``key``; ``right`` has a row for each key, with the number of its rows in ``left`` in ``count``.
+
+    A key with over ``total / HOT_KEYS`` of the ``total`` rows is hot. There are
+    ``HOT_KEYS`` of these at most, so they are broadcast and their rows stay
+    where they are; the others are joined by a shuffle, evenly.
+    """
+    most = max(KEY_ROWS, -(-total // HOT_KEYS))
+    if total <= most:
+        return left.join(right.drop(count), key)
+    columns = [c for c in right.columns if c not in (key, count)]
+    hot = right.where(F.col(count) > most).select(key, F.struct(*columns).alias("found"))
+    marked = left.join(F.broadcast(hot), key, "left")
+    rest = marked.where("found is null").drop("found").join(right.where(F.col(count) <= most).drop(count), key)
+    here = marked.where("found is not null").select(*left.columns, "found.*")
+    return here.unionByName(rest)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder."""
     context = spark.sparkContext

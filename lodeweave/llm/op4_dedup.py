@@ -176,21 +176,6 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], rows: int, size: int | None = None) -> Iterator[pa.Table]:
-    """Small batches as tables of about ``rows`` rows, or ``size`` bytes."""
-    got, n, held = [], 0, 0
-    for b in batches:
-        if b.num_rows:
-            got.append(b)
-            n += b.num_rows
-            held += b.nbytes
-        if n >= rows or (size and held >= size):
-            yield pa.Table.from_batches(got)
-            got, n, held = [], 0, 0
-    if got:
-        yield pa.Table.from_batches(got)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2, over rows in the order of keys: ``_FOUND`` rows: ranges that are removed (info 0), and runs that aren't alone (info: count, back, and 1 << 16 for those of hot anchors)."""
     names = ("key", "doc", "start", "info")
@@ -210,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keep.any():
             yield asked({k: v[keep] for k, v in r.items()}, hot[keep])
 
-    for table in _chunks(batches, CHUNK_ROWS):
+    for table in common.chunks(batches, CHUNK_ROWS):
         kind = table["info"].to_numpy() >> 16
         r = {k: table[k].to_numpy() for k in names}
         gone, ask = kind == _GONE, kind == _ASK
@@ -381,7 +366,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if table.num_rows:
             yield from _resolve(table["bytes"], table["doc"].to_numpy(), table["start"].to_numpy())
 
-    for table in _chunks(batches, CHUNK_ROWS, GROUP_BYTES):
+    for table in common.chunks(batches, CHUNK_ROWS, GROUP_BYTES):
         ready = table["info"].to_numpy() == -1
         if ready.any():
             own = table.filter(pa.array(ready)).combine_chunks()

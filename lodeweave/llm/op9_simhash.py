@@ -15,7 +15,10 @@ Defined results: null, empty and blank texts have no words and fingerprint
 zero, which links like any other; a text of fewer than ``width`` words has one
 shingle, the whole sequence; repeated rows stay; an empty table gives no rows.
 Rows without an id are fingerprinted, and join the component of the
-fingerprint; a component without any id has a null id.
+fingerprint; a component without any id has a null id. Rows that repeat an id
+are one document: each has its own fingerprint, and the stage keeps or drops
+them together. Texts are read whole, however long. Of other columns none is
+read, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from . import common, words
 from .components import components
 
 WIDTH, DISTANCE, BLOCK = 4, 4, 4096
+CHUNK_ROWS = 1 << 18
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 _WORD = np.ones(256, dtype=bool)
@@ -154,27 +158,31 @@ def links(prints: DataFrame, fp: str = "fp", distance: int = DISTANCE, block: in
             signed = mask - (1 << 64) if mask >> 63 else mask
             # The deleted bit and what is left of its segment, in 6 + 22 bits.
             keys.append(F.shiftrightunsigned(F.col("fp").bitwiseAND(F.lit(signed).cast("long")), start).bitwiseOR(F.lit(bit << 22).cast("long")).cast("int"))
-    index = prints.select(F.col(fp).alias("fp")).distinct().select("fp", F.explode(F.array(*keys)).alias("key"))
-    # Block of a fingerprint within its key; nearly all keys have one block.
-    large = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    spark = prints.sparkSession
+    # The nodes are written once, in as many partitions as tasks can share: each node becomes 64 rows.
+    nodes = common.checkpointed(prints.select(F.col(fp).alias("fp")).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    index = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    # A key's size is that of two segment values, so counts of values (three a node) tell which keys are large.
+    parts = [F.struct(F.lit(k).alias("segment"), F.shiftrightunsigned("fp", start).bitwiseAND(F.lit((1 << width) - 1).cast("long")).cast("int").alias("value")) for k, (start, width) in enumerate(SEGMENTS)]
+    values = nodes.select(F.explode(F.array(*parts)).alias("x")).groupBy("x.segment", "x.value").agg(F.count("*").alias("n")).where(F.col("n") > block / 2)
+    bits = F.explode(F.expr("case segment " + " ".join(f"when {k} then sequence({start}, {start + width - 1})" for k, (start, width) in enumerate(SEGMENTS)) + " end")).alias("bit")
+    first = "case segment " + " ".join(f"when {k} then {start}" for k, (start, _) in enumerate(SEGMENTS)) + " end"
+    value_key = F.expr(f"(value & ~shiftleft(1, bit - {first})) | shiftleft(bit, 22)").alias("key")
+    large = values.select("segment", "value", "n", bits).select(value_key, "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     large = common.checkpointed(large)
     unit = index
     if large.isEmpty():
         unit = index.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "fp")
     else:
         own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        # Each large key has over half a block of nodes for one of its values; of 64 keys a node, these are few.
         unit = index.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         unit = unit.select("key", "own", "fp", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.concat_arrays([b.column(k) for b in part]).to_numpy(zero_copy_only=False) for part in [list(batches)] if part for k in range(5)]
-        if not held or not len(held[0]):
-            return
-        key, i, j, own, fps = held
+    def edges(key: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        """Edges of whole units, which stand one after the other."""
         fps = fps.view(np.uint64)
-        order = np.lexsort((fps, j, i, key))
-        key, i, j, own, fps = (x[order] for x in (key, i, j, own, fps))
         cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         size = np.diff(cut)
         two = cut[:-1][size == 2]
@@ -185,29 +193,42 @@ def links(prints: DataFrame, fp: str = "fp", distance: int = DISTANCE, block: in
             if i[s] == j[s]:
                 found = forest(fps[part], distance)
             else:
-                first = own[part] == i[s]
-                found = between(fps[part][first], fps[part][~first], distance)
+                mine = own[part] == i[s]
+                found = between(fps[part][mine], fps[part][~mine], distance)
             if found[0]:
                 left += found[0]
                 right += found[1]
         a, b = _spanning(np.concatenate(left), np.concatenate(right))
-        yield pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return unit.repartition("key", "i", "j").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units in order; only the last, unfinished one is carried over."""
+        carry: list[np.ndarray] | None = None
+        for table in common.chunks(batches, CHUNK_ROWS):
+            held = [table[k].to_numpy() for k in ("key", "i", "j", "own", "fp")]
+            held = held if carry is None else [np.concatenate(x) for x in zip(carry, held, strict=True)]
+            key, i, j = held[:3]
+            last = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])[-1])
+            if last:
+                yield edges(*(x[:last] for x in held))
+            carry = [x[last:] for x in held]
+        if carry is not None:
+            yield edges(*carry)
+
+    return unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, width: int = WIDTH) -> DataFrame:
     """One row for each row of ``df``: ``doc_id``, ``fp`` and ``component_id``, the smallest id that its links reach."""
     prints = common.checkpointed(fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     tree = components(links(prints, distance=distance))
-    joined = least.join(tree, least["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(roots, "root").select("fp", "component_id")
-    # A fingerprint may stand for a third of all rows: its rows are dealt over salts.
-    salts = 16
-    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    joined = common.checkpointed(least.join(tree, least["fp"] == tree["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    size = joined.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    # A component may hold a third of the fingerprints, and a fingerprint a third of the rows.
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    classes = common.looked_up(joined, roots, "root", size["nodes"], "nodes").select("fp", "component_id", "n")
+    return common.looked_up(prints, classes, "fp", size["rows"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
