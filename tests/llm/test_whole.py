@@ -84,3 +84,18 @@ def test_dedup_of_texts_of_megabytes(spark):
     docs = [big, again, "short", "ab" * 700_000]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in op4_dedup.dedup(frame(spark, docs)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
     assert got == {0: (2_300_000, 0, 0), 1: (1801, 1800, 2), 2: (5, 0, 0), 3: (1_400_000, 1_399_998, 1)}
+
+
+def test_secrets_of_a_row_with_many_parts_and_clashing_names(spark):
+    one = "login: user.name Zk9" + "aB3" * 12 + " https://host.example/x "
+    text = (one * 3000 + "password = hunter22; ") + "é" * 70_000 + " token: " + "aB3" * 30_000 + " end"
+    df = spark.createDataFrame([(1, text, "a", 2)], "row int, text string, strong string, t int")
+    out = op2_secrets.scan(df)
+    assert out.columns == ["row", "text", "t", "strong", "linked"]
+    r = out.first()
+    kinds = [op2_secrets.KINDS[s["kind"]] for s in r["linked"]]
+    assert (kinds.count("identifier"), kinds.count("token"), kinds.count("endpoint")) == (3000, 3000, 3000)
+    assert [text[s["start"] : s["end"]] for s in r["strong"]] == ["password = hunter22", "token: " + "aB3" * 30_000]
+    clean = op2_secrets.redact(df).first()
+    marks = "[secret] [secret] [secret] " * 3000
+    assert clean["text"] == marks + "[secret]; " + "é" * 70_000 + " [secret] end" and clean["strong"] == "a"
