@@ -5,15 +5,19 @@ with how often it is used, and the work depends on the number of distinct
 lengths, never on the number of pieces.
 
 Best fit decreasing gives the first incumbent. Branch and bound then takes the
-largest length left, enumerates undominated fillings around it, by least waste
-first, uses each as often as the counts allow, and leaves a branch once the
-bins it has used and the volume it has left can't beat the incumbent.
+largest length left, enumerates every undominated filling around it, by least
+waste first, each with every number of bins that may use it, most first, and
+leaves a branch once its waste exceeds what a packing with fewer bins than the
+incumbent can have. Sums that the lengths left can reach, as bits of one number
+for each length, keep the enumeration free of dead ends. The search is whole
+unless ``work`` runs out, and ``Packing.proven`` says which.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -76,98 +80,153 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return [(items, bins) for batches in free.values() for items, bins in batches]
 
 
-def completions(counts: dict[int, int], lengths: list[int], capacity: int, most: int = 3, nodes: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest length, least waste first, then fewest pieces; ``lengths`` is in order."""
-    largest = lengths[-1]
-    found: list[tuple[int, int, tuple[int, ...]]] = []
-    budget = nodes
-
-    def dominated(items: tuple[int, ...], waste: int) -> bool:
-        for i, x in enumerate(items):
-            above = bisect_right(lengths, x + waste) - 1
-            if above >= 0 and lengths[above] > x and counts[lengths[above]] > items.count(lengths[above]) + (lengths[above] == largest):
-                return True
-            if i and counts.get(items[i - 1] + x, 0) > items.count(items[i - 1] + x) + (items[i - 1] + x == largest):
-                return True
-        return False
-
-    def grow(items: tuple[int, ...], room: int, top: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-        nonlocal budget
-        budget -= 1
-        used = {k: items.count(k) for k in set(items)}
-        used[largest] = used.get(largest, 0) + 1
-        if room <= top and counts.get(room, 0) > used.get(room, 0):
-            yield 0, (*items, room)
-            return
-        fits = False
-        for at in range(bisect_right(lengths, min(room, top)) - 1, -1, -1):
-            k = lengths[at]
-            if counts[k] > used.get(k, 0):
-                fits = True
-                if budget <= 0:
-                    break
-                yield from grow((*items, k), room - k, k)
-        if not fits or budget <= 0:
-            yield room, items
-
-    exact = 0
-    for waste, items in grow((), capacity - largest, largest):
-        if not items or not dominated(items, waste):
-            found.append((waste, len(items), items))
-            exact += waste == 0
-        if exact >= most or budget <= 0:
-            break
-    found.sort()
-    return [items for _, _, items in found[:most]] or [()]
-
-
-def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[Filling]:
-    """Fillings that hold ``counts[k]`` pieces of each length ``k`` from 1 to ``capacity`` in few bins.
-
-    ``nodes`` bounds the branches that are tried; the result is never worse than best fit decreasing.
-    A branch keeps at most 3 completions and leaves their enumeration after 400 steps, so where the
-    result is above ``lower_bound`` there may be a packing in fewer bins.
+@dataclass(frozen=True)
+class Packing:
+    """Fillings; the bound from below; whether fewer bins are known to be impossible."""
+
+    fillings: list[Filling]
+    lower_bound: int
+    proven: bool
+
+    @property
+    def bins(self) -> int:
+        return sum(n for _, n in self.fillings)
+
+
+def _reach(sizes: list[int], left: list[int], capacity: int) -> list[int]:
+    """For each place the sums, as bits, of what is left from there on."""
+    mask = (1 << (capacity + 1)) - 1
+    out = [1] * (len(sizes) + 1)
+    bits = 1
+    for i in range(len(sizes) - 1, -1, -1):
+        k, n = sizes[i], min(left[i], capacity // sizes[i])
+        step = 1
+        while n > 0:
+            take = min(step, n)
+            bits |= bits << (take * k) & mask
+            n -= take
+            step *= 2
+        out[i] = bits
+    return out
+
+
+def _sums(sizes: list[int], left: list[int], reach: list[int], i: int, room: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Every choice of (place, less the number) from place ``i`` on whose sizes add up to ``room``, in order."""
+    if not room:
+        yield ()
+        return
+    while i < len(sizes) and reach[i] >> room & 1:
+        if sizes[i] <= room:
+            for q in range(min(left[i], room // sizes[i]), 0, -1):
+                rest = room - q * sizes[i]
+                if reach[i + 1] >> rest & 1:
+                    for more in _sums(sizes, left, reach, i + 1, rest):
+                        yield ((i, -q), *more)
+        i += 1
+
+
+def completions(sizes: list[int], left: list[int], capacity: int, top: int, most: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...], bool]]:
+    """Waste and choice of every maximal filling around a piece of ``sizes[top]`` that wastes ``most`` at most, least waste first, and whether it is undominated; ``sizes`` falls.
+
+    A filling is dominated if a piece that is left would fit beside it, or in
+    place of a smaller one of its own.
+    """
+    left = list(left)
+    left[top] -= 1
+    reach = _reach(sizes[top:], left[top:], capacity)
+    reach = [0] * top + reach
+    room = capacity - sizes[top]
+    smallest = next((sizes[i] for i in range(len(sizes) - 1, top - 1, -1) if left[i]), capacity + 1)
+    for waste in range(0, min(most, room, smallest - 1) + 1):
+        if reach[top] >> (room - waste) & 1:
+            for choice in _sums(sizes, left, reach, top, room - waste):
+                used = {i: -q for i, q in choice}
+                yield waste, choice, not waste or not any(left[j] > used.get(j, 0) for i in used for j in _larger(sizes, i, top, waste))
+
+
+def _larger(sizes: list[int], i: int, top: int, waste: int) -> Iterator[int]:
+    """Places of sizes above that of place ``i`` by ``waste`` at most."""
+    j = i - 1
+    while j >= top and sizes[j] <= sizes[i] + waste:
+        yield j
+        j -= 1
+
+
+def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packing:
+    """Fillings that hold ``counts[k]`` pieces of each length ``k`` from 1 to ``capacity`` in few bins, never more than best fit decreasing.
+
+    ``work`` bounds the search, in steps of about a microsecond to ten. A search
+    that ends before is whole, and what it returns has the fewest bins there are.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("a length is outside 1 to the capacity")
-    if not counts:
-        return []
     incumbent = best_fit(counts, capacity)
-    fewest = sum(n for _, n in incumbent)
-    least = lower_bound(counts, capacity)
+    fewest, least = sum(n for _, n in incumbent), lower_bound(counts, capacity) if counts else 0
     if fewest <= least:
-        return incumbent
+        return Packing(incumbent, least, True)
 
-    # Depth first with a stack of (counts left, lengths left, bins used, volume left, fillings so far as a linked list).
+    sizes = sorted(counts, reverse=True)
+    left = [counts[k] for k in sizes]
     volume = sum(k * n for k, n in counts.items())
-    stack = [(counts, sorted(counts), 0, volume, None)]
-    while stack and nodes > 0:
-        nodes -= 1
-        left, lengths, bins, rest, trail = stack.pop()
-        if not lengths:
+    seen: dict[tuple, int] = {}  # states and the fewest bins that led to them
+    trail: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
+
+    def choices(top: int, waste: int, after: tuple | None) -> Iterator[tuple[int, tuple[tuple[int, int], ...], int]]:
+        """Fillings of the pieces of one size in order, so that no set of bins comes twice."""
+        nonlocal work
+        work -= len(sizes) - top
+        for w, choice, undominated in completions(sizes, left, capacity, top, (fewest - 1) * capacity - volume - waste):
+            work -= 5 * (1 + len(choice))
+            if work <= 0:
+                return
+            if not undominated or (after is not None and (w, choice) <= after):
+                continue
+            used = dict(choice)
+            used[top] = used.get(top, 0) - 1
+            for times in range(min(left[i] // -q for i, q in used.items()), 0, -1):
+                if waste + times * w <= (fewest - 1) * capacity - volume:
+                    yield w, choice, times
+                if work <= 0:
+                    return
+
+    def change(top: int, choice: tuple[tuple[int, int], ...], times: int) -> None:
+        left[top] -= times
+        for i, q in choice:
+            left[i] += q * times
+
+    # Frames: the size in turn, bins and waste so far, choices, and the choice that is taken.
+    stack = [[0, 0, 0, choices(0, 0, None), None]]
+    while stack and work > 0 and fewest > least:
+        frame = stack[-1]
+        top, bins, waste, of, taken = frame
+        if taken is not None:
+            change(top, taken[1], -taken[2])
+            trail.pop()
+        frame[4] = taken = next(of, None)
+        if taken is None:
+            stack.pop()
+            continue
+        w, choice, times = taken
+        change(top, choice, times)
+        trail.append((top, choice, times))
+        bins, waste = bins + times, waste + times * w
+        down = next((i for i in range(top, len(sizes)) if left[i]), None)
+        if down is None:
             if bins < fewest:
                 fewest, incumbent = bins, []
-                while trail:
-                    incumbent.append(trail[0])
-                    trail = trail[1]
-                if fewest <= least:
-                    break
+                for t, taken_choice, n in trail:
+                    items = {sizes[i]: -q for i, q in taken_choice}
+                    items[sizes[t]] = items.get(sizes[t], 0) + 1
+                    incumbent.append((tuple(sorted(items.items(), reverse=True)), n))
             continue
-        if bins + -(-rest // capacity) >= fewest:
+        if waste > (fewest - 1) * capacity - volume:
             continue
-        largest = lengths[-1]
-        branches = []
-        for items in completions(left, lengths, capacity):
-            each = {k: items.count(k) for k in set(items)}
-            each[largest] = each.get(largest, 0) + 1
-            times = min(left[k] // q for k, q in each.items())
-            after = dict(left)
-            for k, q in each.items():
-                after[k] -= q * times
-            gone = {k for k in each if not after[k]}
-            for k in gone:
-                del after[k]
-            branches.append((after, [k for k in lengths if k not in gone] if gone else lengths, bins + times, rest - times * sum(k * q for k, q in each.items()), ((tuple(sorted(each.items(), reverse=True)), times), trail)))
-        stack += reversed(branches)
-    return incumbent
+        after = (w, choice) if down == top else None
+        if len(sizes) <= 256:
+            state = (after, *left)
+            if seen.get(state, bins + 1) <= bins:
+                continue
+            seen[state] = bins
+        stack.append([down, bins, waste, choices(down, waste, after), None])
+    return Packing(incumbent, least, fewest <= least or (work > 0 and not stack))

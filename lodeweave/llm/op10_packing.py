@@ -33,6 +33,7 @@ from .op5_bpe import vocabulary_path
 CAPACITY, END = 4096, 1
 GROUP_ROWS = 2_000
 MAX_RANGES = 200_000
+WORK = 3_000_000
 
 
 def pieces(df: DataFrame, path: str | Callable[[], str] = vocabulary_path, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -81,11 +82,11 @@ def ranges(fillings: list[binpack.Filling]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, work: int = WORK) -> DataFrame:
     """``found``, which has the columns of ``pieces``, with ``sequence_id`` and ``offset``."""
     found = common.checkpointed(found)
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = ranges(binpack.pack(counts, capacity, nodes))
+    rows = ranges(binpack.pack(counts, capacity, work).fillings)
     if len(rows) > MAX_RANGES:
         raise ValueError("the fillings are too many to broadcast")
     spark = found.sparkSession

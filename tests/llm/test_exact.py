@@ -53,17 +53,58 @@ def test_packing_holds_everything(lengths, capacity):
     counts = Counter(int(x) for x in lengths)
     found = binpack.pack(counts, capacity)
     held = Counter()
-    for items, bins in found:
+    for items, bins in found.fillings:
         assert sum(k * q for k, q in items) <= capacity
         for k, q in items:
             held[k] += q * bins
-    bins = sum(n for _, n in found)
-    assert held == counts and binpack.lower_bound(counts, capacity) <= bins <= sum(n for _, n in binpack.best_fit(counts, capacity))
+    assert held == counts and binpack.lower_bound(counts, capacity) == found.lower_bound <= found.bins <= sum(n for _, n in binpack.best_fit(counts, capacity))
 
 
 def test_bin_completion_beats_best_fit():
-    counts = {6: 4, 5: 4, 4: 4, 3: 4, 2: 4}
-    assert sum(n for _, n in binpack.pack(counts, 10)) == 8
+    found = binpack.pack({6: 4, 5: 4, 4: 4, 3: 4, 2: 4}, 10)
+    assert found.bins == 8 and found.proven
+
+
+def fewest_bins(lengths, capacity):
+    """By subsets: the fewest bins, and the least that the last one holds."""
+    best = [(0, capacity)]
+    for subset in range(1, 1 << len(lengths)):
+        found = []
+        for i, k in enumerate(lengths):
+            if subset >> i & 1:
+                bins, last = best[subset ^ 1 << i]
+                found.append((bins, last + k) if last + k <= capacity else (bins + 1, k))
+        best.append(min(found))
+    return best[-1][0]
+
+
+def test_bin_completion_equals_subsets_where_best_fit_is_above_the_bound():
+    r, hard = np.random.default_rng(11), 0
+    for _ in range(3000):
+        capacity = int(r.integers(20, 60))
+        lengths = r.integers(3, max(5, capacity // 2), int(r.integers(6, 12))).tolist()
+        counts = Counter(lengths)
+        if sum(n for _, n in binpack.best_fit(counts, capacity)) == binpack.lower_bound(counts, capacity):
+            continue
+        hard += 1
+        found = binpack.pack(counts, capacity)
+        assert found.proven and found.bins == fewest_bins(lengths, capacity), (lengths, capacity)
+        if hard == 40:
+            break
+    assert hard == 40
+
+
+@pytest.mark.parametrize("low,high,n,bins", [(700, 2000, 40, None), (900, 1500, 80, None)])
+def test_bin_completion_on_many_lengths(low, high, n, bins):
+    r = np.random.default_rng(3)
+    counts = Counter(r.integers(low, high, n).tolist())
+    found = binpack.pack(counts, 4096)
+    held = Counter()
+    for items, bins in found.fillings:
+        assert sum(k * q for k, q in items) <= 4096
+        for k, q in items:
+            held[k] += q * bins
+    assert held == counts and found.bins <= sum(n for _, n in binpack.best_fit(counts, 4096))
 
 
 def test_pack_places_pieces(spark):
