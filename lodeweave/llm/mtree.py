@@ -3,15 +3,16 @@
 A vector ``x`` is set on a sphere by one more component, so that the Euclidean
 distance to a query ``(q, 0)`` falls as the inner product rises: its square is
 ``|q|**2 + R**2 - 2 q.x``, an integer. The tree is the M-tree of that metric.
-Nodes are pages: a node keeps, for each child, its pivot, the covering radius,
-the distance to the parent's pivot and the smallest id below; a leaf keeps its
+Nodes are pages: a node keeps, for each child, its pivot, the covering radius
+and the distance to the parent's pivot; a leaf keeps its
 rows and their distances to its pivot.
 
 Search is best-first. Before a distance is computed, the triangle inequality on
 stored distances, ``|d(q, parent) - d(parent, child)| - radius``, tells whether
-it can matter. Distances are floating point, but differ by far more than
-``SLACK`` where inner products differ, so a bound within ``SLACK`` of the k-th
-distance allows at best a tie, and a tie counts only for smaller ids.
+it can matter. Bounds are floating point and are widened by ``SLACK`` times the
+lengths involved, far more than their rounding; answers are compared as inner
+products, which are exact below 2**53. Of the copies of one vector only the
+``copies`` smallest ids can be in an answer, and the tree holds no others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-SLACK = 1e-7
+SLACK = 1e-6
 
 
 @dataclass
@@ -30,25 +31,41 @@ class Node:
     norms: np.ndarray | None = None
     radius: np.ndarray | None = None
     parent: np.ndarray | None = None  # distances to this node's pivot
-    least: np.ndarray | None = None  # smallest ids
     children: list = field(default_factory=list)
     x: np.ndarray | None = None  # a leaf's rows, their ids, and their distances to its pivot
     ids: np.ndarray | None = None
     away: np.ndarray | None = None
 
 
+def fewest_copies(ids: np.ndarray, vectors: np.ndarray, copies: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector with its ``copies`` smallest ids."""
+    if not len(ids) or not vectors.shape[1]:
+        order = np.argsort(ids, kind="stable")[:copies]
+        return ids[order], vectors[order]
+    order = np.lexsort((ids, *vectors.T))
+    ids, vectors = ids[order], vectors[order]
+    place = np.arange(len(ids))
+    first = np.r_[True, (vectors[1:] != vectors[:-1]).any(axis=1)]
+    kept = place - np.maximum.accumulate(np.where(first, place, 0)) < copies
+    return ids[kept], vectors[kept]
+
+
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 768, fan: int = 24, seed: int = 5):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256, fan: int = 24, seed: int = 5, copies: int | None = None):
+        if copies is not None:
+            ids, vectors = fewest_copies(ids, vectors, copies)
         self.ids, self.x = ids.astype(np.int64), vectors.astype(np.float64)
         square = (self.x * self.x).sum(axis=1)
         self.r2 = float(square.max(initial=0.0))
         self._up = np.c_[self.x, np.sqrt(self.r2 - square)]
         self._leaf, self._fan, self._rng = leaf, fan, np.random.default_rng(seed)
+        self.slack = SLACK * np.sqrt(self.r2)
         self.computed = 0
         self.root, self._pivot = None, None
         if len(ids):
             self._pivot = self._up[0]
             self.root = self._build(np.arange(len(ids)), self._pivot)
+        del self.ids, self.x, self._up, self._rng  # the pages hold all
 
     def _build(self, rows: np.ndarray, pivot: np.ndarray) -> Node:
         away = np.sqrt(((self._up[rows] - pivot) ** 2).sum(axis=1))
@@ -56,7 +73,7 @@ class MTree:
             order = np.argsort(self.ids[rows])
             rows, away = rows[order], away[order]
             return Node(x=self.x[rows], ids=self.ids[rows], away=away)
-        if away.max() <= SLACK:  # copies of one vector: pages in the order of their ids
+        if away.max() <= self.slack:  # copies of one vector: pages in the order of their ids
             order = rows[np.argsort(self.ids[rows])]
             groups = np.array_split(order, min(self._fan, -(-len(rows) // self._leaf)))
             centers = np.repeat(pivot[None], len(groups), axis=0)
@@ -75,30 +92,28 @@ class MTree:
             norms=(centers**2).sum(axis=1),
             radius=np.array([np.sqrt(((self._up[g] - c) ** 2).sum(axis=1)).max() for g, c in zip(groups, centers, strict=True)]),
             parent=np.sqrt(((centers - pivot) ** 2).sum(axis=1)),
-            least=np.array([self.ids[g].min() for g in groups]),
             children=[self._build(g, c) for g, c in zip(groups, centers, strict=True)],
         )
 
-    def search(self, query: np.ndarray, k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the ``k`` rows with the largest, ties to smaller ids, without the row of id ``own``."""
+    def search(self, query: np.ndarray, k: int, own: int | None = None, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the ``k`` rows with the largest, ties to smaller ids, without rows of id ``own``; rows below ``least`` may be left out."""
         q = query.astype(np.float64)
         up = np.r_[q, 0.0]
         qq = float(q @ q)
         ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        limit, last = np.inf, np.iinfo(np.int64).max  # the k-th distance and id
         if self.root is None:
             return ids, scores.astype(np.int64)
-        heap = [(0.0, 0, float(np.sqrt(((up - self._pivot) ** 2).sum())), -1, self.root)]
+        slack = self.slack + SLACK * np.sqrt(qq)
+        reach = lambda score: float(np.sqrt(max(0.0, qq + self.r2 - 2 * score))) + slack
+        limit = np.inf if least is None else reach(least)  # the k-th distance, widened
+        heap = [(0.0, 0, float(np.sqrt(((up - self._pivot) ** 2).sum())), self.root)]
         count = 0
         while heap:
-            bound, _, away, least, node = heapq.heappop(heap)
-            if bound > limit + SLACK:
+            bound, _, away, node = heapq.heappop(heap)
+            if bound > limit:
                 break
-            if bound >= limit - SLACK and least > last:
-                continue
             if node.x is not None:
-                gap = np.abs(away - node.away)
-                live = (gap < limit - SLACK) | ((gap <= limit + SLACK) & (node.ids < last))
+                live = np.abs(away - node.away) <= limit
                 if own is not None:
                     live &= node.ids != own
                 n = int(np.count_nonzero(live))
@@ -118,16 +133,16 @@ class MTree:
                 order = np.lexsort((found, -got))[:k]
                 scores, ids = got[order], found[order]
                 if len(ids) == k:
-                    limit, last = float(np.sqrt(max(0.0, qq + self.r2 - 2 * scores[-1]))), int(ids[-1])
+                    limit = min(limit, reach(scores[-1]))
                 continue
-            some = np.flatnonzero(np.abs(away - node.parent) - node.radius <= limit + SLACK)
+            some = np.flatnonzero(np.abs(away - node.parent) - node.radius <= limit)
             if not len(some):
                 continue
             self.computed += len(some)
             d = np.sqrt(np.maximum(0.0, node.norms[some] + qq - 2 * (node.pivots[some] @ up)))
             lows = np.maximum(0.0, d - node.radius[some])
             for i, low, near in zip(some.tolist(), lows.tolist(), d.tolist(), strict=True):
-                if low <= limit + SLACK:
+                if low <= limit:
                     count += 1
-                    heapq.heappush(heap, (low, count, near, int(node.least[i]), node.children[i]))
+                    heapq.heappush(heap, (low, count, near, node.children[i]))
         return ids, np.rint(scores).astype(np.int64)

@@ -99,3 +99,37 @@ def test_secrets_of_a_row_with_many_parts_and_clashing_names(spark):
     clean = op2_secrets.redact(df).first()
     marks = "[secret] [secret] [secret] " * 3000
     assert clean["text"] == marks + "[secret]; " + "é" * 70_000 + " [secret] end" and clean["strong"] == "a"
+
+
+def test_search_counts_repeated_ids_as_the_sql_does(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from lodeweave.llm import op3_topk
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in rng.integers(0, 200, 400)]
+    rows += [(7, rows[0][1]), (8, rows[0][1]), (8, rows[0][1]), (50, rows[0][1])]
+    table = pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))})
+    c = duckdb.connect()
+    c.register("embeddings", table)
+    want = c.sql("select query_id, rank, vec_id, score from (" + op3_topk.ORACLE_SQL + ")").fetchall()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    data = df.select("vec_id", op3_topk.quantised("embedding").alias("v"))
+    got = op3_topk.top_k(data, data.where("vec_id % 50 = 0"), 5, shard=64, block=3).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_search_leaves_out_most_distances_where_vectors_cluster():
+    from lodeweave.llm.mtree import MTree
+
+    rng = np.random.default_rng(4)
+    centers = rng.integers(-800, 800, (40, 32))
+    x = centers[rng.integers(0, 40, 6000)] + rng.integers(-20, 20, (6000, 32))
+    tree = MTree(np.arange(6000), x, leaf=64, fan=16)
+    for i in range(0, 6000, 300):
+        found, score = tree.search(x[i], 5, own=i)
+        s, ids = x @ x[i], np.arange(6000)
+        order = np.lexsort((ids, -s))
+        assert found.tolist() == order[order != i][:5].tolist()
+    assert tree.computed < 0.25 * 20 * 6000
