@@ -45,7 +45,7 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file (byte-level BPE with a word-end suffix)."""
 
-    def __init__(self, path: str, cache_entries: int = 300_000):
+    def __init__(self, path: str, cache_entries: int = 300_000, cache_chars: int = 8_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -73,14 +73,14 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self._keys, self._rank = keys[order], rank[order]
         self._made, self._at_once = made, first_use[made] > rank
-        self._cache_entries = cache_entries
+        self._cache_entries, self._cache_chars = cache_entries, cache_chars
         self._clear()
 
     def _clear(self) -> None:
         self._index: dict[str, int] = {}
         self._flat = np.zeros(1 << 16, dtype=np.uint32)
         self._starts = np.zeros(1 << 14, dtype=np.int64)
-        self._known = 0
+        self._known = self._chars = 0
 
     # -- merge rounds -----------------------------------------------------
 
@@ -215,7 +215,7 @@ class WordBpe:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one uint32 array, and the number of ids of each text."""
-        if len(self._index) > self._cache_entries:
+        if len(self._index) > self._cache_entries or self._chars > self._cache_chars:
             self._clear()
         split = [self.chunks(t) for t in texts]
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -225,6 +225,7 @@ class WordBpe:
         if missing:
             absent = [every[k] for k in missing]
             new = dict.fromkeys(absent)
+            self._chars += sum(map(len, new))
             for c in [c for c in new if c[0] == " "]:
                 self._learn_special(c[1:])
                 del new[c]

@@ -91,17 +91,12 @@ def looked_up(left: DataFrame, right: DataFrame, key: str, total: int, count: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests on one machine, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, as in tests, a folder in the warehouse, which executors share too."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="lodeweave-")
-    context.setCheckpointDir(folder)
+    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lodeweave")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -130,7 +125,8 @@ def strings(column: pa.Array) -> list[str]:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back; many small rows take less room than by ``checkpointed``.
 
-    The shuffle files behind it are no longer needed, and are released.
+    The shuffle files behind it are no longer needed, and are released. The
+    table goes when the application ends.
     """
     import gc
     import uuid
@@ -139,6 +135,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/lodeweave-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -18,6 +18,8 @@ import struct
 import numpy as np
 
 BLOCK, PARTITION, RATE = 576, 2, 8000
+#: Seek points in a table, whose length has 24 bits; longer streams have one for every few frames.
+POINTS = 900_000
 _HEAD = np.array([0xFF, 0xF8, 0x24, 0x02], dtype=np.uint8)  # 576 samples, 8 kHz, mono, 8 bits
 _WARM = 8  # bits of a warm-up sample
 _FIXED = ([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])
@@ -183,8 +185,9 @@ def encode(payload: np.ndarray, frames: np.ndarray, lpc: int = 0) -> list[bytes]
         own = size[f : f + m]
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | m * BLOCK).to_bytes(8, "big") + hashlib.md5(signed[f * BLOCK : (f + m) * BLOCK]).digest()
-        points = np.empty(m, dtype=[("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
-        points["sample"], points["offset"], points["count"] = np.arange(m) * BLOCK, at[f : f + m] - at[f], BLOCK
+        pointed = np.arange(0, m, -(-m // POINTS))
+        points = np.empty(len(pointed), dtype=[("sample", ">u8"), ("offset", ">u8"), ("count", ">u2")])
+        points["sample"], points["offset"], points["count"] = pointed * BLOCK, at[f + pointed] - at[f], BLOCK
         table = points.tobytes()
         stop = int(at[f + m - 1] + size[f + m - 1])
         streams.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + raw[int(at[f]) : stop])

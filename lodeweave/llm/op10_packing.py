@@ -12,7 +12,9 @@ of the groups before, so one length may have any share of the rows.
 
 Defined results: a null or empty text has the end id alone; repeated rows are
 pieces of their own; an empty table gives no rows; rows with a null id are
-packed like others.
+packed like others. Pieces of one length are placed in the order of their ids,
+pieces, starts and checksums; which of fully equal ones comes first is no
+difference. Texts are read whole, however long; of other columns none is read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ number ``1 << BITS`` at most, and ``MAX_WEIGHTS`` bytes bound the broadcast.
 Defined results: null and empty texts get the score of the bias alone; repeated
 rows get equal scores; an empty table gives no rows; where no row is labelled,
 the score is 0.5 for all. Labels that are null are not learned; where an id has
-several labels, the mean, rounded up at a half, counts.
+several labels, the mean, rounded up at a half, counts. Rows of the sample are
+learned in the order of a hash of their ids. Texts are
+read whole, however long; other columns stay, whatever their names, unless an
+output has the name.
 """
 
 from __future__ import annotations
@@ -159,7 +162,7 @@ def score(df: DataFrame, model: Model, text: str = "text", output: str = "score"
     if model.bucket.nbytes + model.weight.nbytes > MAX_WEIGHTS:
         raise ValueError("the model has more weights than may be broadcast; raise the L1 penalty")
     sent = spark.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c != output]
+    kept = common.others(df, (output,))
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(output, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ offsets. Every row is handled where it is read; nothing is shuffled.
 
 Defined results: null and empty texts are one block of 255; repeated rows and
 equal texts give equal streams; an empty table gives no rows; a damaged stream
-raises ``flac.FlacError``. Other columns stay, whatever their names, unless an
+raises ``flac.FlacError``; texts are read whole, and the frames of one text are in
+memory together, at some tens of its bytes. Other columns stay, whatever their names, unless an
 output has the name.
 """
 
@@ -28,7 +29,7 @@ from . import common, flac, words
 def store(df: DataFrame, text: str = "text", output: str = "media", lpc: int = 0) -> DataFrame:
     """``df`` with each whole text's stream in ``output`` and its unpadded length in ``n_bytes``, instead of ``text``."""
     common.small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in (text, output, "n_bytes")]
+    kept = [c for c in common.others(df, (output, "n_bytes")) if c != text]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("n_bytes", T.LongType()), T.StructField(output, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,7 @@ def features(payload: np.ndarray, blocks: np.ndarray) -> list[str]:
 
 def restore(df: DataFrame, media: str = "media", output: str = "payload", feature: str = "feature") -> DataFrame:
     """``df`` with the bytes that its streams hold in ``output`` and their features; a null stream gives null."""
-    kept = [c for c in df.columns if c not in (output, feature)]
+    kept = common.others(df, (output, feature))
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(output, T.BinaryType()), T.StructField(feature, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

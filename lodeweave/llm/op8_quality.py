@@ -17,6 +17,9 @@ score bins and the different scores of the one or two bins where it lies.
 Defined results: null and empty texts are texts of no words and get that
 score; repeated rows get equal scores; an empty table gives no rows. Where the
 sample lacks good or poor texts there are no pairs, and each score is 0.7 (kept).
+Of equal scores none is preferred: all are above the threshold or none. Texts are
+read whole, however long; other columns stay, whatever their names, unless an
+output has the name.
 """
 
 from __future__ import annotations
@@ -195,7 +198,7 @@ def calibrated(model: Model, docs: DataFrame, labels: DataFrame, label: str = "q
 def score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
     """``df`` with each whole text's score from 0 to 1 in ``output``, which replaces a column of that name."""
     common.small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c != output]
+    kept = common.others(df, (output,))
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(output, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
