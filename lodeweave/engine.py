@@ -8,17 +8,19 @@ import json
 import os
 import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .audit import AuditLog
 from .functions import sql as sql_functions
+from .functions.text import quoted
 from .operators import stats, transforms
 from .operators.docpipe import PipelineError
 from .operators.merge import MergeError, Pair, merge
 from .plans import guard, spec
-from .plans.discovery import JoinDiscovery
+from .plans.discovery import JoinDiscovery, detect_join
 from .plans.registry import JoinRegistry, JoinRule
 from .sources.catalog import SourceCatalog, SourceError
 from .sources.profile import SchemaCache, SchemaScanner, Table
@@ -129,7 +131,7 @@ class Engine:
             if isinstance(text, str) and text.strip()[:1] == "{":
                 text = json.loads(text)
             if isinstance(text, str):
-                guard.check(self.spark, text)
+                guard.check(self.spark, text, self.catalog.tables(s.db))
                 text = guard.push_aggregation(self.spark, text, honor_limit)
             else:
                 guard.check(self.spark, json.dumps(text))
@@ -147,25 +149,70 @@ class Engine:
                 pairs.append(Pair(a.key, best.column_a, b.key, best.column_b, best.transform))
         return pairs
 
-    def frame(self, query: str | dict, databases: list[str] | None = None, honor_limit: bool = False, strict: bool = True, **merge_options: str) -> tuple[DataFrame, spec.FederatedPlan]:
+    def _detected(self, plan: spec.FederatedPlan, frames: dict[str, DataFrame]) -> list[Pair]:
+        """Without a join in the spec and without a rule, the columns of neighbouring results that join best, fields of objects in text included."""
+        pairs = []
+        for a, b in zip(plan.sub_queries, plan.sub_queries[1:], strict=False):
+            m = detect_join(frames[a.key], frames[b.key])
+            if m is None:
+                continue
+            if m.column_b not in frames[b.key].columns:
+                parent, _, name = m.column_b.partition("__")
+                frames[b.key] = frames[b.key].withColumn(m.column_b, F.get_json_object(F.col(quoted(parent)), f"$.{name}"))
+            pairs.append(Pair(a.key, m.column_a, b.key, m.column_b, m.transform, both=True))
+        return pairs
+
+    def _learn(self, plan: spec.FederatedPlan, count: int) -> None:
+        """Joins that a spec spelled out become unconfirmed rules, or reinforce known ones."""
+        of = {s.key: s for s in plan.sub_queries}
+        for p in plan.pairs if not plan.rules else []:
+            ends = []
+            for key, name in ((p.left_key, p.left_column), (p.right_key, p.right_column)):
+                frame, text = plan.frames[key], of[key].query
+                table = text.get("collection") if isinstance(text, dict) else next(iter(guard.tables(frame)), "unknown")
+                ends += [of[key].db, *(guard.origin(frame, name) or (table, name))]
+            self.registry.propose(tuple(ends), p.transform, count > 0)
+
+    def verify_rules(self) -> list[dict]:
+        """Every rule measured again; those between two tables are replaced by what was found."""
+        c = self.config
+        finder = JoinDiscovery(self.catalog, c.name_similarity_threshold, c.overlap_threshold, c.min_confidence_to_propose, c.value_sample_size)
+        fresh: dict[tuple, list[JoinRule]] = {}
+        for rule, score, transform in finder.verify(self.registry.get_all()):
+            ends = (rule.db_a, rule.table_a, rule.db_b, rule.table_b)
+            fresh.setdefault(ends, []).append(replace(rule, confidence=score, transform=transform or rule.transform, confirmed=rule.confirmed and score >= c.min_confidence_to_propose))
+        for ends, rules in fresh.items():
+            self.registry.replace_for_tables(*ends, rules)
+        return [asdict(r) for r in self.registry.get_all()]
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.catalog.close()
+
+    def frame(self, query: str | dict, databases: list[str] | None = None, honor_limit: bool = False, strict: bool = True, detect: bool = False, **merge_options: str) -> tuple[DataFrame, spec.FederatedPlan]:
         """The lazy result of a query, and its plan; errors are raised."""
         plan = self._parse(query, databases)
         frames = self._frames(plan, honor_limit)
         if len(frames) > 1 and not plan.pairs:
             plan.pairs = self._rules(plan, frames)
+            if not plan.pairs and detect:
+                plan.pairs = self._detected(plan, frames)
+        plan.frames = frames
         df = merge(frames, plan.pairs, **merge_options)
         return transforms.apply(df, plan.transforms, strict), plan
 
     # -- public ---------------------------------------------------------------
 
-    def query(self, query: str | dict, databases: list[str] | None = None, session_id: str | None = None, row_limit: int | None = None, honor_limit: bool = False, strict: bool = True, **merge_options: str) -> Result:
+    def query(self, query: str | dict, databases: list[str] | None = None, session_id: str | None = None, row_limit: int | None = None, honor_limit: bool = False, strict: bool = True, detect: bool = False, **merge_options: str) -> Result:
         """Errors are in the result: planning_error, cost_overrun, timeout, safety_violation or execution_error."""
         began = time.time()
         text = query if isinstance(query, str) else json.dumps(query)
         if session_id and not self.repeats.add(session_id, text, databases or []):
             return Result(None, error="this session has asked this before")
         try:
-            df, plan = self.frame(query, databases, honor_limit, strict, **merge_options)
+            df, plan = self.frame(query, databases, honor_limit, strict, detect, **merge_options)
         except guard.SafetyViolation as e:
             return Result(None, error=str(e), error_type="safety_violation")
         except (spec.SpecError, MergeError, SourceError, PipelineError, transforms.UnknownOperator) as e:
@@ -201,6 +248,7 @@ class Engine:
         if len(plan.sub_queries) > 1 and not plan.pairs:
             warnings.append(f"no join is known: only {plan.sub_queries[0].key} is returned, not {', '.join(s.key for s in plan.sub_queries[1:])}")
         self.registry.observe(plan.rules, count)
+        self._learn(plan, count)
         took = (time.time() - began) * 1000
         self.log.record(session_id or uuid.uuid4().hex, text, plan.provenance()["databases"], count, took, score.score, warnings, truncated, bytes_expected)
         return Result(df if whole else df.limit(limit), found, df.columns, count, truncated, warnings, plan.provenance(), score, took)
@@ -263,7 +311,10 @@ class Engine:
         if expression:
             df = stats.expression(df, **(expression if isinstance(expression, dict) else {"result": expression}))
         elif operation == "chi_square":
-            df = stats.chi_square(df, **options)
+            found = [r.asDict(True) for r in stats.chi_square(df, **options).collect()]
+            if not found[0]["grand_total"]:
+                raise ValueError("the total of the table is zero")
+            return found
         elif operation == "ema":
             df = stats.ema(df, **options)
         else:

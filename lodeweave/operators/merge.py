@@ -18,13 +18,14 @@ class MergeError(ValueError):
 
 @dataclass(frozen=True)
 class Pair:
-    """``left_key.left_column = right_key.right_column``, the left side brought to ``transform``'s form."""
+    """``left_key.left_column = right_key.right_column``, the left side brought to ``transform``'s form, or ``both``."""
 
     left_key: str
     left_column: str
     right_key: str
     right_column: str
     transform: str | None = None
+    both: bool = False
 
     @classmethod
     def parse(cls, left: str, right: str, transform: str | None = None) -> Pair:
@@ -33,11 +34,12 @@ class Pair:
         return cls(*left.split(".", 1), *right.split(".", 1), transform)
 
 
-def _comparable(left: DataFrame, a: str, right: DataFrame, b: str, transform: str | None) -> tuple[Column, Column]:
+def _comparable(left: DataFrame, a: str, right: DataFrame, b: str, transform: str | None, both: bool = False) -> tuple[Column, Column]:
     """The two sides of a key. Columns of one exact type need no texts to compare."""
     if transform is None and left.schema[a].dataType == right.schema[b].dataType and isinstance(left.schema[a].dataType, (T.IntegralType, T.StringType, T.DateType)):
         return F.col(quoted(a)), F.col(quoted(b))
-    return keys.apply(transform, as_string(left, a)), as_string(right, b)
+    right_text = as_string(right, b)
+    return keys.apply(transform, as_string(left, a)), keys.apply(transform, right_text) if both else right_text
 
 
 def _name(key: str, column: str, first: str) -> str:
@@ -78,7 +80,7 @@ def merge(frames: dict[str, DataFrame], pairs: list[Pair], how: str = "inner", p
             a, b = _name(left_key, p.left_column, first), f"{right_key}__{p.right_column}"
             if a not in merged.columns or b not in renamed.columns:
                 raise MergeError(f"no such column: {p.left_key}.{p.left_column} or {p.right_key}.{p.right_column}")
-            x, y = _comparable(merged, a, renamed, b, p.transform)
+            x, y = _comparable(merged, a, renamed, b, p.transform, p.both)
             on = (x == y) if on is None else on & (x == y)
         merged = merged.join(renamed, on, how)
         joined.add(right_key)

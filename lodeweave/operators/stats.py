@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import as_number, column, has, quoted, as_string
@@ -10,7 +11,7 @@ from .transforms import compute_ema
 
 
 def cells(df: DataFrame, row_col: str, col_col: str, count_col: str | None = "count", min_marginal: float = 0) -> DataFrame:
-    """``r, c, o, e``: observed and expected counts of the full grid of rows and columns whose marginals exceed ``min_marginal``.
+    """``r, c, o, rm, cm, kept``: each observed cell with its marginals, of rows and columns whose own exceed ``min_marginal`` where ``kept``.
 
     A missing count is one observation; a missing label is a label of its own.
     """
@@ -20,27 +21,34 @@ def cells(df: DataFrame, row_col: str, col_col: str, count_col: str | None = "co
     else:
         n = F.lit(1.0)
     observed = df.select(label(row_col).alias("r"), label(col_col).alias("c"), n.alias("o")).groupBy("r", "c").agg(F.sum("o").alias("o"))
-    rows = observed.groupBy("r").agg(F.sum("o").alias("m")).where(F.col("m") > min_marginal).select("r")
-    cols = observed.groupBy("c").agg(F.sum("o").alias("m")).where(F.col("m") > min_marginal).select("c")
-    kept = observed.join(rows, "r", "left_semi").join(cols, "c", "left_semi")
-    by_row = kept.groupBy("r").agg(F.sum("o").alias("rm"))
-    by_col = kept.groupBy("c").agg(F.sum("o").alias("cm"))
-    total = kept.agg(F.sum("o").alias("total"))
-    # The grid itself is what is asked for: a cell for each pair of labels.
-    grid = by_row.crossJoin(by_col).crossJoin(F.broadcast(total))
-    return grid.join(kept, ["r", "c"], "left").select("r", "c", F.coalesce("o", F.lit(0.0)).alias("o"), F.try_divide(F.col("rm") * F.col("cm"), F.col("total")).alias("e"), "total")
+    by_row, by_col = W.partitionBy("r"), W.partitionBy("c")
+    out = observed.withColumn("ra", F.sum("o").over(by_row)).withColumn("ca", F.sum("o").over(by_col))
+    out = out.withColumn("kept", (F.col("ra") > min_marginal) & (F.col("ca") > min_marginal))
+    kept = F.when(F.col("kept"), F.col("o"))
+    return out.withColumn("cm", F.sum(kept).over(by_col)).withColumn("rm", F.sum(kept).over(by_row))
 
 
 def chi_square(df: DataFrame, row_col: str, col_col: str, count_col: str | None = "count", min_marginal: float = 0) -> DataFrame:
-    """One row: ``chi_square, grand_total, rows_included, cols_included, dof``."""
+    """One row: ``chi_square, grand_total, rows_included, cols_included, rows_excluded, cols_excluded, dof``; null where the total is zero.
+
+    Cells that nobody observed need no rows: a cell expects ``rm * cm / N``, all
+    cells together expect N, so the empty ones add N less what the others expect.
+    """
     grid = cells(df, row_col, col_col, count_col, min_marginal)
-    out = grid.agg(
-        F.sum(F.try_divide((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")), F.col("e"))).alias("chi_square"),
-        F.max("total").cast("bigint").alias("grand_total"),
-        F.countDistinct("r").alias("rows_included"),
-        F.countDistinct("c").alias("cols_included"),
+    total = grid.agg(F.sum(F.when(F.col("kept"), F.col("o"))).alias("n"))
+    e = F.try_divide(F.col("rm") * F.col("cm"), F.col("n"))
+    out = grid.crossJoin(F.broadcast(total)).withColumn("e", F.when(F.col("kept"), e)).agg(  # one row
+        F.sum(F.try_divide((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")), F.col("e"))).alias("near"),
+        F.sum("e").alias("expected"),
+        F.max("n").alias("n"),
+        F.count_distinct(F.when(F.col("kept"), F.col("r"))).alias("rows_included"),
+        F.count_distinct(F.when(F.col("kept"), F.col("c"))).alias("cols_included"),
+        (F.count_distinct("r") - F.count_distinct(F.when(F.col("kept"), F.col("r")))).alias("rows_excluded"),
+        (F.count_distinct("c") - F.count_distinct(F.when(F.col("kept"), F.col("c")))).alias("cols_excluded"),
     )
-    return out.withColumn("dof", (F.col("rows_included") - 1) * (F.col("cols_included") - 1))
+    value = F.when(F.col("n") != 0, F.col("near") + F.col("n") - F.col("expected")).alias("chi_square")
+    names = ("rows_included", "cols_included", "rows_excluded", "cols_excluded")
+    return out.select(value, F.coalesce("n", F.lit(0)).cast("bigint").alias("grand_total"), *names, ((F.col("rows_included") - 1) * (F.col("cols_included") - 1)).alias("dof"))
 
 
 def ema(df: DataFrame, group_col: str, sort_col: str, value_col: str, alpha: float = 0.3, fill_gaps: bool = True, summarize: bool = True) -> DataFrame:

@@ -390,6 +390,44 @@ def weighted_group_avg(df: DataFrame, group_by: str | Sequence[str], value: str,
 
 
 
+def _averages(alpha: float, fill_gaps: bool, most: int = 1 << 16):
+    """Averages of series that come in order, batch by batch: only the last average and step are held, however long a series is."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        started, group, last, e = False, None, None, 0.0
+        for batch in batches:
+            keys, steps, values = (batch.column(c).to_pylist() for c in ("g", "s", "v"))
+            take, s_out, v_out, e_out, g_out = [], [], [], [], []
+
+            def out(batch=batch, take=take, s_out=s_out, v_out=v_out, e_out=e_out, g_out=g_out):
+                rows = {"g": pa.array(g_out, batch.schema.field("g").type), "s": pa.array(s_out, batch.schema.field("s").type), "v": pa.array(v_out, pa.float64()), "p": batch.column("p").take(pa.array(take, pa.int64())), "e": pa.array(e_out, pa.float64())}
+                for kept in (take, s_out, v_out, e_out, g_out):
+                    kept.clear()
+                return pa.RecordBatch.from_pydict(rows)
+
+            for i, (g, s, v) in enumerate(zip(keys, steps, values, strict=True)):
+                if not started or g != group:
+                    started, group, e = True, g, v
+                else:
+                    if fill_gaps:
+                        for gap in range(last + 1, s):
+                            e *= 1 - alpha
+                            for kept, x in ((take, None), (s_out, gap), (v_out, 0.0), (e_out, e), (g_out, g)):
+                                kept.append(x)
+                            if len(take) >= most:
+                                yield out()
+                    e = alpha * v + (1 - alpha) * e
+                last = s
+                for kept, x in ((take, i), (s_out, s), (v_out, v), (e_out, e), (g_out, g)):
+                    kept.append(x)
+            if take:
+                yield out()
+
+    return run
+
+
 @op
 def compute_ema(df: DataFrame, group_by: str, sort_by: str, value_col: str = "count", alpha: float = 0.2, output: str = "ema", fill_gaps: bool = True, summarize: bool = True, by_value: bool = False) -> DataFrame:
     """Exponential moving average of each group's series, in whole steps from its first to its last.
@@ -399,25 +437,18 @@ def compute_ema(df: DataFrame, group_by: str, sort_by: str, value_col: str = "co
     first of equals. ``by_value`` sorts by the average, greatest first.
     """
     g, s = quoted(group_by), quoted(sort_by)
-    rows = df.where(F.col(s).isNotNull()).select(F.col(g).alias("g"), F.col(s).alias("s"), F.coalesce(_or_zero(df, value_col), F.lit(0.0)).alias("v"), F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), F.monotonically_increasing_id().alias("i"))
+    rows = df.where(F.col(s).isNotNull()).select(F.col(g).alias("g"), F.col(s).alias("s"), F.coalesce(_or_zero(df, value_col), F.lit(0.0)).alias("v"), F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("p"), F.monotonically_increasing_id().alias("i"))
     whole = isinstance(df.schema[sort_by].dataType, T.IntegralType)
-    points = rows.groupBy("g", "s").agg(F.max_by(F.struct("v", "row"), F.col("i")).alias("p")) if whole else rows.select("g", "s", F.struct("v", "row").alias("p"))
-    lists = points.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("s", F.col("p.v").alias("v")))).alias("l"))
-    if fill_gaps and whole:
-        steps = F.sequence(F.element_at("l", 1)["s"], F.element_at("l", -1)["s"])
-        lists = lists.withColumn("m", F.map_from_arrays(F.transform("l", lambda x: x["s"]), F.transform("l", lambda x: x["v"])))
-        lists = lists.withColumn("l", F.transform(steps, lambda t: F.struct(t.alias("s"), F.coalesce(F.try_element_at("m", t), F.lit(0.0)).alias("v")))).drop("m")
-    fold = F.aggregate(
-        F.slice("l", 2, F.greatest(F.size("l") - 1, F.lit(0))),
-        F.array(F.element_at("l", 1)["v"]),
-        lambda acc, x: F.concat(acc, F.array(F.lit(alpha) * x["v"] + F.lit(1 - alpha) * F.element_at(acc, -1))),
-    )
-    out = lists.withColumn("e", fold).select("g", F.explode(F.arrays_zip("l", "e")).alias("z")).select("g", F.col("z.l.s").alias("s"), F.col("z.l.v").alias("v"), F.col("z.e").alias("e"))
+    if whole:
+        rows = rows.groupBy("g", "s").agg(F.max_by(F.struct("v", "p"), F.col("i")).alias("x")).select("g", "s", "x.v", "x.p")
+    points = rows.select("g", "s", "v", "p").repartition("g").sortWithinPartitions("g", "s")
+    schema = T.StructType([*points.schema.fields, T.StructField("e", T.DoubleType())])
+    out = points.mapInArrow(_averages(alpha, fill_gaps and whole), schema)
     if summarize:
-        top = out.groupBy("g").agg(F.max_by(F.struct("s", "v", "e"), F.struct("e", -F.col("s") if whole else F.lit(0))).alias("t"))
-        out = top.select("g", "t.s", "t.v", "t.e")
-    back = out.alias("o").join(points.alias("q"), F.col("o.g").eqNullSafe(F.col("q.g")) & (F.col("o.s") == F.col("q.s")), "left").select("o.g", "o.s", "o.v", "o.e", F.col("q.p").alias("p"))
+        top = out.groupBy("g").agg(F.max_by(F.struct("s", "v", "e", "p"), F.struct("e", -F.col("s") if whole else F.lit(0))).alias("t"))
+        out = top.select("g", "t.s", "t.v", "t.e", "t.p")
+    back = out
     named = {group_by: F.col("g"), sort_by: F.col("s")}
-    columns = [named[c].alias(c) if c in named else (F.coalesce(F.col("p.row")[c].cast("double"), F.col("v")).alias(c) if c == value_col and isinstance(df.schema[c].dataType, T.NumericType) else F.col("p.row")[c].alias(c)) for c in df.columns if c != output]
+    columns = [named[c].alias(c) if c in named else (F.coalesce(F.col("p")[c].cast("double"), F.col("v")).alias(c) if c == value_col and isinstance(df.schema[c].dataType, T.NumericType) else F.col("p")[c].alias(c)) for c in df.columns if c != output]
     result = back.select(*columns, F.round("e", 6).alias(output))
     return result.orderBy(F.desc(output)) if by_value else result

@@ -13,7 +13,7 @@ from ..operators.docpipe import WRITES
 
 
 class SafetyViolation(ValueError):
-    """``kind`` is PARSE_ERROR, MULTIPLE_STATEMENTS, WRITE_OPERATION or DDL_OPERATION."""
+    """``kind`` is PARSE_ERROR, MULTIPLE_STATEMENTS, WRITE_OPERATION, DDL_OPERATION or UNKNOWN_TABLE."""
 
     def __init__(self, kind: str, detail: str):
         super().__init__(f"{kind}: {detail}")
@@ -34,11 +34,31 @@ def _parse(spark: SparkSession, query: str):
     return spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
 
 
-def _nodes(plan):
+#: Expressions that hold a plan.
+_PLANS = frozenset("ScalarSubquery Exists ListQuery LateralSubquery FunctionTableSubqueryArgumentExpression".split())
+
+
+def _subqueries(node) -> list:
+    """Plans within a node's expressions."""
+    out, stack = [], []
+    inner = node.expressions()
+    stack += [inner.apply(i) for i in range(inner.size())]
+    while stack:
+        e = stack.pop()
+        if e.getClass().getSimpleName() in _PLANS:
+            out.append(e.plan())
+        below = e.children()
+        stack += [below.apply(i) for i in range(below.size())]
+    return out
+
+
+def _nodes(plan, expressions: bool = False):
     stack = [plan]
     while stack:
         node = stack.pop()
         yield node
+        if expressions:
+            stack += _subqueries(node)
         for part in ("children", "innerChildren"):
             inner = getattr(node, part)()
             for i in range(inner.size()):
@@ -47,8 +67,25 @@ def _nodes(plan):
                     stack.append(child)
 
 
-def check(spark: SparkSession, query: str) -> None:
-    """Raises unless ``query`` only reads; document pipelines pass unless a stage writes."""
+def _relations(plan) -> tuple[list[list[str]], set[str]]:
+    """Names of the relations that a parsed plan reads, in parts, and of its common table expressions."""
+    read, own = [], set()
+    for node in _nodes(plan, expressions=True):
+        name = node.nodeName().strip("'")
+        if name == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            read.append([parts.apply(i) for i in range(parts.size())])
+        elif name == "UnresolvedWith":
+            ctes = node.cteRelations()
+            own |= {ctes.apply(i)._1().lower() for i in range(ctes.size())}
+    return read, own
+
+
+def check(spark: SparkSession, query: str, known: list[str] | None = None) -> None:
+    """Raises unless ``query`` only reads, and of tables only those that are ``known``; document pipelines pass unless a stage writes.
+
+    Without ``known`` every table of one name passes; files by path and other catalogs never do.
+    """
     text = query.strip()
     if not text:
         return
@@ -66,13 +103,17 @@ def check(spark: SparkSession, query: str) -> None:
         if ";" in bare:
             raise SafetyViolation("MULTIPLE_STATEMENTS", "one statement at a time") from e
         raise SafetyViolation("PARSE_ERROR", str(e).splitlines()[0]) from e
-    for node in _nodes(plan):
+    for node in _nodes(plan, expressions=True):
         name = node.nodeName().strip("'")
         if name in _READS:
             continue
         if _WRITE.search(name):
             raise SafetyViolation("WRITE_OPERATION", name)
         raise SafetyViolation("DDL_OPERATION" if _DDL.search(name) else "WRITE_OPERATION" if "Into" in name else "DDL_OPERATION", name)
+    read, own = _relations(plan)
+    for parts in read:
+        if len(parts) > 1 or (known is not None and parts[0].lower() not in own | {k.lower() for k in known}):
+            raise SafetyViolation("UNKNOWN_TABLE", ".".join(parts))
     if _CALLS.search(text):
         raise SafetyViolation("DDL_OPERATION", "calls of JVM methods aren't allowed")
 
@@ -85,13 +126,13 @@ def is_safe(spark: SparkSession, query: str) -> bool:
     return True
 
 
-def _analyzed_names(df: DataFrame) -> list[str]:
-    return [n.nodeName() for n in _nodes(df._jdf.queryExecution().analyzed())]
-
-
 def is_aggregate(df: DataFrame) -> bool:
-    """Whether the plan aggregates or has windows anywhere; such results are small, or whole, and keep all rows."""
-    return any(n in ("Aggregate", "Window") for n in _analyzed_names(df))
+    """Whether the result is an aggregate, projected, filtered or sorted at most; all of its groups are kept. A window keeps every row of its input, so it is none."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "Sort", "SubqueryAlias", "View", "WithCTE"):
+        below = node.children()
+        node = below.apply(below.size() - 1)
+    return node.nodeName() == "Aggregate"
 
 
 def has_limit(df: DataFrame) -> bool:
@@ -126,6 +167,35 @@ def tables(df: DataFrame) -> list[str]:
     return found
 
 
+def origin(df: DataFrame, column: str) -> tuple[str, str] | None:
+    """Table and column that a result's column is taken from as it is, by whatever name; None where it is computed."""
+    plan = df._jdf.queryExecution().analyzed()
+    at = next((i for i, c in enumerate(df.columns) if c == column), None)
+    if at is None:
+        return None
+    wanted = plan.output().apply(at).exprId().id()
+    nodes = list(_nodes(plan))
+    sources = {}  # what an alias stands for
+    for n in nodes:
+        if n.nodeName() in ("Project", "Aggregate"):
+            named = n.projectList() if n.nodeName() == "Project" else n.aggregateExpressions()
+            for i in range(named.size()):
+                e = named.apply(i)
+                if e.nodeName() == "Alias":
+                    sources[e.exprId().id()] = e.child()
+    while wanted in sources:
+        if sources[wanted].nodeName() != "AttributeReference":
+            return None
+        wanted = sources[wanted].exprId().id()
+    for n in nodes:
+        if n.nodeName() == "SubqueryAlias":
+            held = n.output()
+            for i in range(held.size()):
+                if held.apply(i).exprId().id() == wanted:
+                    return n.identifier().name(), held.apply(i).name()
+    return None
+
+
 def cost(df: DataFrame) -> float:
     """Bytes that the optimizer expects; comparable between plans, not between sources."""
     return float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -26,6 +26,7 @@ class FederatedPlan:
     transforms: list[dict] = field(default_factory=list)
     rules: list[str] = field(default_factory=list)
     strategy: str = "federated"
+    frames: dict = field(default_factory=dict)
 
     def provenance(self) -> dict:
         return {

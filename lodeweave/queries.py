@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import keys, sql
-from .operators import docpipe, stats
+from .operators import docpipe, ranges, stats
 from .operators.merge import Pair, merge
 from .operators.transforms import apply
 from .plans import discovery, guard
@@ -246,12 +246,28 @@ def ema_summarize_gapfill(spark, sf):
 WITH o AS (SELECT o_orderpriority AS r, c_mktsegment AS c, count(*)::DOUBLE AS o FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 g AS (SELECT r.r, c.c, rm, cm, (SELECT sum(o) FROM o) AS t FROM (SELECT r, sum(o) AS rm FROM o GROUP BY 1) r, (SELECT c, sum(o) AS cm FROM o GROUP BY 1) c)
 SELECT round(sum(power(coalesce(o.o, 0) - rm * cm / t, 2) / (rm * cm / t)), 6) AS chi_square, max(t)::BIGINT AS grand_total, count(DISTINCT g.r) AS rows_included, count(DISTINCT g.c) AS cols_included,
-  (count(DISTINCT g.r) - 1) * (count(DISTINCT g.c) - 1) AS dof FROM g LEFT JOIN o USING (r, c)""")
+  0::BIGINT AS rows_excluded, 0::BIGINT AS cols_excluded, (count(DISTINCT g.r) - 1) * (count(DISTINCT g.c) - 1) AS dof FROM g LEFT JOIN o USING (r, c)""")
 def chi_square(spark, sf):
     joined = _t(spark, sf, "orders").join(_t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderpriority", "c_mktsegment")
     return stats.chi_square(joined, "o_orderpriority", "c_mktsegment").withColumn("chi_square", F.round("chi_square", 6))
 
 
+@query("""
+WITH a AS (SELECT p_brand AS r, p_size % 11 AS c, sum(p_size)::DOUBLE AS o FROM part GROUP BY 1, 2),
+m AS (SELECT avg(o) AS x FROM (SELECT sum(o) AS o FROM a GROUP BY r)), n AS (SELECT avg(o) AS x FROM (SELECT sum(o) AS o FROM a GROUP BY c)),
+b AS (SELECT (SELECT least(m.x, n.x) FROM m, n) AS x),
+o AS (SELECT * FROM a WHERE r IN (SELECT r FROM a GROUP BY r HAVING sum(o) > (SELECT x FROM b)) AND c IN (SELECT c FROM a GROUP BY c HAVING sum(o) > (SELECT x FROM b))),
+g AS (SELECT r.r, c.c, rm, cm, (SELECT sum(o) FROM o) AS t FROM (SELECT r, sum(o) AS rm FROM o GROUP BY 1) r, (SELECT c, sum(o) AS cm FROM o GROUP BY 1) c)
+SELECT round(sum(power(coalesce(o.o, 0) - rm * cm / t, 2) / (rm * cm / t)), 6) AS chi_square, max(t)::BIGINT AS grand_total, count(DISTINCT g.r) AS rows_included, count(DISTINCT g.c) AS cols_included,
+  (SELECT count(DISTINCT r) FROM a) - count(DISTINCT g.r) AS rows_excluded, (SELECT count(DISTINCT c) FROM a) - count(DISTINCT g.c) AS cols_excluded,
+  (count(DISTINCT g.r) - 1) * (count(DISTINCT g.c) - 1) AS dof FROM g LEFT JOIN o USING (r, c)""")
+def chi_square_min_marginal(spark, sf):
+    """Rows and columns below the mean marginal are left out."""
+    df = _t(spark, sf, "part").selectExpr("p_brand", "p_size % 11 AS c", "p_size")
+    least = min(df.groupBy(k).agg(F.sum("p_size").alias("m")).agg(F.avg("m")).first()[0] for k in ("p_brand", "c"))
+    return stats.chi_square(df, "p_brand", "c", "p_size", least).withColumn("chi_square", F.round("chi_square", 6))
+
+
 @query("SELECT round(stddev_pop(l_quantity), 6) AS spread, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, max(l_discount) AS top FROM lineitem")
 def stddev_corr_expr(spark, sf):
     return stats.expression(_t(spark, sf, "lineitem"), spread="round(stddev_pop(l_quantity), 6)", r="round(corr(l_quantity, l_extendedprice), 6)", slope="round(regr_slope(l_extendedprice, l_quantity), 4)", top="max(l_discount)")
@@ -354,21 +370,32 @@ _sql("json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events",
 
 @query("SELECT l.l_orderkey, l.l_linenumber, n.n_nationkey FROM lineitem l JOIN nation n ON l.l_quantity >= n.n_nationkey * 2 AND l.l_quantity < n.n_nationkey * 2 + 3")
 def range_join(spark, sf):
-    """Intervals [2k, 2k + 3) against points: both sides get buckets of the intervals' width, so the join is on equal keys."""
-    width = 3.0
-    points = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.floor(F.col("l_quantity") / width).alias("b"))
+    """Intervals [2k, 2k + 3) against points."""
+    points = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     spans = _t(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") * 2).alias("lo"), (F.col("n_nationkey") * 2 + 3).alias("hi"))
-    spans = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return points.join(spans, "b").where("l_quantity >= lo and l_quantity < hi").select("l_orderkey", "l_linenumber", "n_nationkey")
+    return ranges.range_join(points, spans, "l_quantity", "lo", "hi").select("l_orderkey", "l_linenumber", "n_nationkey")
+
+
+@query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal - 1 - s_suppkey % 7 * 20 AND s_acctbal + s_suppkey % 7 * 20")
+def range_join_unlike_lengths(spark, sf):
+    """Closed intervals of seven lengths."""
+    spans = _t(spark, sf, "supplier").selectExpr("s_suppkey", "s_acctbal - 1 - s_suppkey % 7 * 20 AS lo", "s_acctbal + s_suppkey % 7 * 20 AS hi")
+    return ranges.range_join(_t(spark, sf, "part").select("p_partkey", "p_retailprice"), spans, "p_retailprice", "lo", "hi", closed=True).select("s_suppkey", "p_partkey")
 
 
 @query("SELECT e.event_id, p.event_id AS before FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def asof_join(spark, sf):
-    """The last purchase of the same user at or before each event, by one sort of each user's events."""
+    """The last purchase of the same user at or before each event."""
+    e = _t(spark, sf, "events")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("before"))
+    return ranges.asof_join(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["before"]).select("event_id", "before")
+
+
+@query("""SELECT e.event_id, CASE WHEN epoch_us(e.ts) - epoch_us(p.ts) <= 3600 * 1000000::BIGINT THEN p.event_id END AS before FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+def asof_join_tolerance(spark, sf):
     e = _t(spark, sf, "events")
-    bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
-    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
-    return e.select("event_id", F.max(bought).over(w)["event_id"].alias("before"))
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("before"))
+    return ranges.asof_join(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["before"], tolerance=3600).select("event_id", "before")
 
 
 # -- discovery, profiles, checks ----------------------------------------------

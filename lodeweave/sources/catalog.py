@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from ..operators import docpipe
 from . import embedded
 
 FILES = ("parquet", "json", "csv", "orc")
+#: Options that cut a JDBC table into ranges, which a query of one row can't have.
+_CUT = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
 
 
 class SourceError(ValueError):
@@ -37,7 +39,10 @@ def parse_uri(uri: str) -> tuple[str, str]:
     scheme, _, rest = uri.partition("://")
     if scheme in ("postgresql", "postgres", "mysql"):
         parts = urlsplit(uri)
-        return "jdbc", f"jdbc:{'postgresql' if scheme.startswith('postgres') else scheme}://{parts.hostname}:{parts.port or 5432}{parts.path}"
+        kind, port = ("mysql", 3306) if scheme == "mysql" else ("postgresql", 5432)
+        return "jdbc", f"jdbc:{kind}://{parts.hostname}:{parts.port or port}{parts.path}" + (f"?{parts.query}" if parts.query else "")
+    if uri.startswith("jdbc:"):
+        return "jdbc", uri
     if scheme in ("mongodb", "mongodb+srv"):
         return "mongodb", uri
     if scheme in ("sqlite", "duckdb"):
@@ -47,6 +52,12 @@ def parse_uri(uri: str) -> tuple[str, str]:
     raise SourceError(f"unknown scheme {scheme!r}")
 
 
+def credentials(uri: str) -> dict[str, str]:
+    """User and password of a URI, as reader options; they stay out of the location."""
+    parts = urlsplit(uri) if uri.partition("://")[0] in ("postgresql", "postgres", "mysql") else None
+    return {} if parts is None else {k: unquote(v) for k, v in (("user", parts.username), ("password", parts.password)) if v}
+
+
 class SourceCatalog:
     def __init__(self, spark: SparkSession, hidden: tuple[str, ...] = ()):
         self.spark, self.hidden = spark, set(hidden)
@@ -68,7 +79,7 @@ class SourceCatalog:
                 n += 1
                 alias = f"{scheme}_{n}"
             kind, location = parse_uri(uri)
-            self.register(alias, kind, location)
+            self.register(alias, kind, location, **credentials(uri))
             out.append(alias)
         return out
 
@@ -91,7 +102,9 @@ class SourceCatalog:
         elif s.kind == "duckdb":
             names = [r[0] for r in self._embedded(s, "select table_name as name from information_schema.tables where table_schema = 'main' order by 1").collect()]
         elif s.kind == "jdbc":
-            names = [r[0] for r in self._jdbc(s, "select table_name as name from information_schema.tables where table_schema = 'public'").collect()]
+            schema = "database()" if s.location.startswith("jdbc:mysql:") else "'public'"
+            query = "select tablename as name from sys.systables where tabletype = 'T'" if s.location.startswith("jdbc:derby:") else f"select table_name as name from information_schema.tables where table_schema = {schema}"
+            names = [r[0] for r in self._jdbc(s, query).collect()]
         else:
             names = []
         return sorted(n for n in names if n not in self.hidden and f"{alias}.{n}" not in self.hidden)
@@ -100,7 +113,20 @@ class SourceCatalog:
         return self.spark.read.format(f"lodeweave_{s.kind}").options(path=s.location, query=query, **s.options).load()
 
     def _jdbc(self, s: Source, query: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=s.location, query=query, **s.options).load()
+        options = {k: v for k, v in s.options.items() if k not in _CUT}
+        return self.spark.read.format("jdbc").options(url=s.location, query=query, **options).load()
+
+    def _jdbc_table(self, s: Source, name: str) -> DataFrame:
+        """A table in ranges of ``partitionColumn``, whose bounds the database tells unless the options do, in ``numPartitions`` (8) reads."""
+        options = dict(s.options)
+        key = options.get("partitionColumn")
+        if key and "lowerBound" not in options:
+            low, high = self._jdbc(s, f"select min({key}) as low, max({key}) as high from {name}").first()
+            if low is None:
+                options.pop("partitionColumn")
+            else:
+                options |= {"lowerBound": str(low), "upperBound": str(high), "numPartitions": options.get("numPartitions", "8")}
+        return self.spark.read.format("jdbc").options(url=s.location, dbtable=name, **options).load()
 
     def table(self, alias: str, name: str) -> DataFrame:
         s = self.source(alias)
@@ -118,7 +144,7 @@ class SourceCatalog:
         if s.kind in ("sqlite", "duckdb"):
             return _once(self.spark.read.format(f"lodeweave_{s.kind}").options(path=s.location, table=name, **s.options).load())
         if s.kind == "jdbc":
-            return self.spark.read.format("jdbc").options(url=s.location, dbtable=name, **s.options).load()
+            return self._jdbc_table(s, name)
         if s.kind == "mongodb":
             return self.spark.read.format("mongodb").options(**{"connection.uri": s.location, "collection": name, **s.options}).load()
         raise SourceError(f"{s.kind} has no tables")

@@ -170,3 +170,69 @@ def test_math_and_context(engine):
     assert engine.math_compute(rows=rows, expression={"m": "avg(v)"}) == [{"m": 2.0}]
     assert engine.math_compute(rows=rows, operation="ema", group_col="g", sort_col="t", value_col="v", alpha=0.5)[0]["ema"] == 2.0
     assert "db_a.orders(" in engine.context("db_a")
+
+
+def test_guard_knows_tables(spark):
+    for q in ("SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM a WHERE x IN (SELECT y FROM csv.`/etc`)", "SELECT * FROM hidden", "SELECT (SELECT max(x) FROM hidden) AS m FROM a", "SELECT * FROM a, LATERAL (SELECT * FROM spark_catalog.default.b)"):
+        with pytest.raises(guard.SafetyViolation) as e:
+            guard.check(spark, q, ["a"])
+        assert e.value.kind == "UNKNOWN_TABLE", q
+    guard.check(spark, "WITH t AS (SELECT x FROM A) SELECT * FROM t JOIN a USING (x) WHERE x > (SELECT min(x) FROM T)", ["a"])
+
+
+def test_windows_keep_the_row_cap(engine):
+    r = engine.query("SELECT id, row_number() OVER (ORDER BY id) AS k FROM orders", ["db_a"], row_limit=4)
+    assert (r.row_count, r.truncated) == (4, True)
+    r = engine.query("SELECT id FROM orders WHERE amount > (SELECT avg(amount) FROM orders)", ["db_a"], row_limit=4)
+    assert (r.row_count, r.truncated) == (4, True)
+
+
+def test_specs_teach_joins(engine):
+    q = {"sub_queries": [{"db": "db_a", "query": "SELECT customer_id AS who, amount FROM orders", "key": "o"}, {"db": "db_b", "query": "SELECT id, name FROM customers", "key": "c"}], "join_on": [["o.who", "c.id"]]}
+    assert engine.query(q).row_count == 50
+    rule, = engine.registry.get_all()
+    assert (rule.table_a, rule.column_a, rule.table_b, rule.column_b, rule.confidence, rule.confirmed) == ("orders", "customer_id", "customers", "id", 0.65, False)
+    engine.query(q)
+    assert engine.registry.get(rule.join_id).confidence == 0.67
+    engine.registry.save(JoinRule("db_a", "orders", "amount", "db_b", "customers", "name", "identity", 0.9, True))
+    found = {r["column_a"]: r for r in engine.verify_rules()}
+    assert found["customer_id"]["confidence"] >= 0.65 and found["amount"]["confidence"] < 0.6 and not found["amount"]["confirmed"]
+
+
+def test_detected_joins_and_json_fields(engine):
+    spark = engine.spark
+    engine.catalog.register("x", "frames", frames={"a": spark.createDataFrame([(f"CUST-{i:04d}", i * 1.5) for i in range(40)], "k string, v double")})
+    engine.catalog.register("y", "frames", frames={"b": spark.createDataFrame([(f'{{"ref": "cust{i:04d}", "n": {i % 3}}}',) for i in range(40)], "doc string")})
+    q = {"sub_queries": [{"db": "x", "query": "SELECT * FROM a", "key": "a"}, {"db": "y", "query": "SELECT * FROM b", "key": "b"}]}
+    assert engine.query(q).warnings
+    r = engine.query(q, detect=True)
+    assert r.row_count == 40 and r.provenance["merge_on"] == [["a.k", "b.doc__ref"]]
+
+
+def test_jdbc(engine, tmp_path):
+    spark = engine.spark
+    url = f"jdbc:derby:{tmp_path}/base;create=true"
+    spark.range(100).selectExpr("cast(id as int) AS ID", "id * 2 AS V").write.jdbc(url, "ITEMS", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    engine.catalog.register("j", "jdbc", url, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", partitionColumn="ID", numPartitions="4")
+    assert engine.catalog.tables("j") == ["ITEMS"]
+    assert engine.catalog.table("j", "ITEMS").rdd.getNumPartitions() == 4
+    assert engine.query("SELECT sum(V) AS s FROM ITEMS", ["j"]).rows == [{"s": 9900}]
+
+
+def test_uris():
+    from lodeweave.sources.catalog import credentials, parse_uri
+
+    uri = "postgresql://u:p%40w@h:5433/db?sslmode=require"
+    assert parse_uri(uri) == ("jdbc", "jdbc:postgresql://h:5433/db?sslmode=require") and credentials(uri) == {"user": "u", "password": "p@w"}
+    assert parse_uri("mysql://h/db") == ("jdbc", "jdbc:mysql://h:3306/db") and credentials("sqlite:///x") == {}
+
+
+def test_zero_total(engine):
+    with pytest.raises(ValueError, match="zero"):
+        engine.math_compute(rows=[{"a": "x", "b": "y", "count": 0}], operation="chi_square", row_col="a", col_col="b")
+
+
+def test_context_manager(engine):
+    with engine as e:
+        assert e.connections()
+    assert not engine.catalog.sources
