@@ -159,7 +159,7 @@ def push_aggregation(spark: SparkSession, query: str, honor_limit: bool = False)
 def tables(df: DataFrame) -> list[str]:
     """Names of the tables that the plan reads."""
     found = []
-    for n in _nodes(df._jdf.queryExecution().analyzed()):
+    for n in _nodes(df._jdf.queryExecution().analyzed(), expressions=True):
         if n.nodeName() == "SubqueryAlias":
             name = n.identifier().name()
             if name not in found:
