@@ -51,7 +51,7 @@ def fewest_copies(ids: np.ndarray, vectors: np.ndarray, copies: int) -> tuple[np
 
 
 class MTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256, fan: int = 24, seed: int = 5, copies: int | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = 512, fan: int = 24, seed: int = 5, copies: int | None = None):
         if copies is not None:
             ids, vectors = fewest_copies(ids, vectors, copies)
         self.ids, self.x = ids.astype(np.int64), vectors.astype(np.float64)
