@@ -129,6 +129,7 @@ def written(df: DataFrame) -> DataFrame:
     table goes when the application ends.
     """
     import gc
+    import time
     import uuid
 
     spark = df.sparkSession
@@ -138,6 +139,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # The listeners of the write hold its plan until they have heard of its end.
+    time.sleep(0.5)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
