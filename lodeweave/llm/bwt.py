@@ -33,6 +33,23 @@ def stable_order(x: np.ndarray) -> np.ndarray:
     return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
 
 
+def order_of(key: np.ndarray, most: int) -> np.ndarray:
+    """Argsort of numbers from 0 to ``most``, ties by place; key and place are sorted as one number where both fit one."""
+    bits = max(1, len(key) - 1).bit_length()
+    if most.bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = key << bits | np.arange(len(key), dtype=np.int64)
+    both.sort()
+    return both & ((1 << bits) - 1)
+
+
+def by_home(interleave: np.ndarray, shards: int) -> np.ndarray:
+    """Stable argsort of the shards' numbers."""
+    if shards > 16:
+        return np.argsort(interleave, kind="stable")
+    return np.concatenate([np.flatnonzero(interleave == s) for s in range(shards)])
+
+
 @dataclass
 class Shard:
     """Suffixes in order: their places in the shard's bytes, and the symbols before them (0: none)."""
@@ -56,9 +73,12 @@ class Shard:
                 ahead[:-step] = rank[step:]
             ahead[rank < ends] = 0
             # What stands `step` on is in the same chain, unless an end came first; then the rank is already unique.
-            key = rank * (n + int(rank.max(initial=0)) + 2) + ahead
-            order = np.argsort(key, kind="stable")
-            new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
+            most = int(rank.max(initial=0))
+            key = rank * (most + 1) + ahead
+            order = order_of(key, (most + 1) ** 2)
+            key = key[order]
+            new = np.zeros(n, dtype=np.int64)
+            np.cumsum(key[1:] != key[:-1], out=new[1:])
             rank = np.empty(n, dtype=np.int64)
             rank[order] = new
             if step > longest or int(new[-1]) == n - 1:
@@ -71,27 +91,27 @@ class Shard:
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' suffixes by their first ``depth`` symbols, and each suffix's common prefix with the one ahead, in symbols up to ``depth``."""
-    before = np.concatenate([s.before for s in shards])
+    before = np.concatenate([s.before for s in shards]).astype(np.int32)
     home = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.before) for s in shards])
     n, ends = len(before), sum(s.ends for s in shards)
     # At first all suffixes are alike; ends stand first, and from the first round on they are one interval each.
     leading = np.concatenate([np.arange(len(s.before)) < s.ends for s in shards])
     interleave = np.concatenate([home[leading], home[~leading]])
     top = interleave[:ends].copy()
-    block = np.zeros(n, dtype=np.int64)
-    common = np.where(np.arange(n) <= ends, 0, depth)
+    block = np.zeros(n, dtype=np.int32)
+    common = np.full(n, depth, dtype=np.int32)
+    common[: ends + 1] = 0
+    symbol, apart = np.empty_like(before), np.ones(n, dtype=bool)
     for h in range(1, depth + 1):
         # The j-th suffix of a shard in the interleave is the j-th of its transform.
-        symbol = np.empty_like(before)
-        symbol[np.argsort(interleave, kind="stable")] = before
+        symbol[by_home(interleave, len(shards))] = before
         order = stable_order(symbol)
-        order = order[int(np.count_nonzero(symbol == 0)) :]
-        symbol, source = symbol[order], block[order]
+        order = order[n - np.count_nonzero(symbol) :]
+        key, source = symbol[order], block[order]
         interleave = np.concatenate([top, interleave[order]])
-        apart = np.ones(n, dtype=bool)
-        apart[ends + 1 :] = (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])
-        common[apart & (common == depth) & (np.arange(n) >= ends)] = h - 1
-        block = np.cumsum(apart) - 1
+        apart[ends + 1 :] = (key[1:] != key[:-1]) | (source[1:] != source[:-1])
+        common[apart & (common == depth)] = h - 1
+        block = np.cumsum(apart, dtype=np.int32) - np.int32(1)
     return interleave, common
 
 
@@ -99,5 +119,5 @@ def intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray,
     """Shard, place and interval of each suffix; suffixes of one interval share their first ``depth`` symbols."""
     interleave, common = merge(shards, depth)
     place = np.empty(len(interleave), dtype=np.int64)
-    place[np.argsort(interleave, kind="stable")] = np.concatenate([s.place for s in shards])
+    place[by_home(interleave, len(shards))] = np.concatenate([s.place for s in shards])
     return interleave.astype(np.int64), place, np.cumsum(common < depth) - 1

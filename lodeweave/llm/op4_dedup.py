@@ -311,7 +311,7 @@ def repeated(strings: list[bytes], count: np.ndarray, times: np.ndarray | None =
         first, begin = stop + 1, int(ends[stop])
     home, place, interval = bwt.intervals(shards, DEPTH)
     place = place + np.array(base)[home]
-    which = np.searchsorted(ends, place, side="right")
+    which = np.repeat(np.arange(len(strings)), lengths)[place]
     start = place - (ends - lengths)[which]
     own = start < count[which]
     which, start, interval = which[own], start[own], interval[own]
