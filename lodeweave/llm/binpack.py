@@ -152,11 +152,17 @@ def _larger(sizes: list[int], i: int, top: int, waste: int) -> Iterator[int]:
         j -= 1
 
 
+#: Frames that hold an open enumeration, and numbers in remembered states: what bounds the search's memory.
+OPEN, REMEMBERED = 32, 4_000_000
+
+
 def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packing:
     """Fillings that hold ``counts[k]`` pieces of each length ``k`` from 1 to ``capacity`` in few bins, never more than best fit decreasing.
 
     ``work`` bounds the search, in steps of about a microsecond to ten. A search
     that ends before is whole, and what it returns has the fewest bins there are.
+    Beyond ``OPEN`` frames an enumeration is closed, and begun again after the
+    choice taken when the search comes back to it.
     """
     counts = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in counts):
@@ -172,7 +178,7 @@ def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packin
     seen: dict[tuple, int] = {}  # states and the fewest bins that led to them
     trail: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
 
-    def choices(top: int, waste: int, after: tuple | None) -> Iterator[tuple[int, tuple[tuple[int, int], ...], int]]:
+    def choices(top: int, waste: int, after: tuple | None, taken: tuple | None = None) -> Iterator[tuple[int, tuple[tuple[int, int], ...], int]]:
         """Fillings of the pieces of one size in order, so that no set of bins comes twice."""
         nonlocal work
         work -= len(sizes) - top
@@ -182,9 +188,14 @@ def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packin
                 return
             if not undominated or (after is not None and (w, choice) <= after):
                 continue
+            if taken is not None and (w, choice) < taken[:2]:
+                continue
             used = dict(choice)
             used[top] = used.get(top, 0) - 1
-            for times in range(min(left[i] // -q for i, q in used.items()), 0, -1):
+            times_most = min(left[i] // -q for i, q in used.items())
+            if taken is not None and (w, choice) == taken[:2]:
+                times_most = taken[2] - 1
+            for times in range(times_most, 0, -1):
                 if waste + times * w <= (fewest - 1) * capacity - volume:
                     yield w, choice, times
                 if work <= 0:
@@ -195,14 +206,16 @@ def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packin
         for i, q in choice:
             left[i] += q * times
 
-    # Frames: the size in turn, bins and waste so far, choices, and the choice that is taken.
-    stack = [[0, 0, 0, choices(0, 0, None), None]]
+    # Frames: the size in turn, bins and waste so far, choices, the choice that is taken, and the one that all follow.
+    stack = [[0, 0, 0, choices(0, 0, None), None, None]]
     while stack and work > 0 and fewest > least:
         frame = stack[-1]
-        top, bins, waste, of, taken = frame
+        top, bins, waste, of, taken, follows = frame
         if taken is not None:
             change(top, taken[1], -taken[2])
             trail.pop()
+        if of is None:
+            frame[3] = of = choices(top, waste, follows, taken)
         frame[4] = taken = next(of, None)
         if taken is None:
             stack.pop()
@@ -227,6 +240,9 @@ def pack(counts: dict[int, int], capacity: int, work: int = 3_000_000) -> Packin
             state = (after, *left)
             if seen.get(state, bins + 1) <= bins:
                 continue
-            seen[state] = bins
-        stack.append([down, bins, waste, choices(down, waste, after), None])
+            if len(seen) * len(sizes) < REMEMBERED:
+                seen[state] = bins
+        stack.append([down, bins, waste, choices(down, waste, after), None, after])
+        if len(stack) > OPEN:
+            stack[-OPEN - 1][3] = None
     return Packing(incumbent, least, fewest <= least or (work > 0 and not stack))
