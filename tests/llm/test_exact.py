@@ -107,6 +107,19 @@ def test_bin_completion_on_many_lengths(low, high, n, bins):
     assert held == counts and found.bins <= sum(n for _, n in binpack.best_fit(counts, 4096))
 
 
+def test_bin_completion_with_closed_enumerations(monkeypatch):
+    own = np.random.default_rng(3)
+    for _ in range(40):
+        lengths, counts = np.unique(own.integers(5, 31, int(own.integers(5, 14))), return_counts=True)
+        counts = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+        want = binpack.pack(counts, 50)
+        with monkeypatch.context() as m:
+            m.setattr(binpack, "OPEN", 1)
+            m.setattr(binpack, "REMEMBERED", 0)
+            got = binpack.pack(counts, 50)
+        assert (got.bins, got.proven) == (want.bins, want.proven)
+
+
 def test_pack_places_pieces(spark):
     own = library()
     texts = [*ODD, "word " * 300, "word " * 300, *("many words here " * int(n) for n in rng.integers(1, 60, 40))]
