@@ -361,7 +361,8 @@ _sql("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 F
 _sql("case_coalesce", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size, coalesce(nullif(p_type, 'STANDARD'), 'plain') AS t FROM part")
 _sql("order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 _sql("lateral_unnest", "SELECT p_partkey, w FROM part LATERAL VIEW explode(split(p_name, ' ')) x AS w", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")
-_sql("lateral_subquery", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
+# Spark numbers a correlated LIMIT's rows in their order only if the sub-query returns all that it is ordered by; else in the order in which they arrive.
+_sql("lateral_subquery", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1) t", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 _sql("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (sum(l_quantity) FOR l_linestatus IN ('O' AS open, 'F' AS filled))", "SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'O') AS open, sum(l_quantity) FILTER (l_linestatus = 'F') AS filled FROM lineitem GROUP BY 1")
 _sql("unpivot", "SELECT p_partkey, k, v FROM (SELECT p_partkey, cast(p_size as double) AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR k IN (size, price))", "SELECT p_partkey, 'size' AS k, p_size::DOUBLE AS v FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
 _sql("json", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -68,3 +68,14 @@ def test_zfill_joins_take_long_ids(spark, tmp_path):
     assert rows("join_zfill_7") == [(1, "0000001")] * 2 + [(2, "0000002"), (100_001, "0100001"), (1_000_002, "1000002")]
     r = queries.QUERIES["key_grammar"](spark, str(tmp_path)).first()
     assert (r["rows"], r["keys"]) == (5, 5)
+
+
+def test_lateral_limit_keeps_its_order(spark, duck, tmp_path):
+    for t in "region nation supplier part customer lineitem events documents pages conversations".split():
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    rows = [(2, 1, 5.0), (None, 1, 5.0), (7, 2, None), (8, 2, 1.0), (None, 3, 2.0), (4, 3, 1.0), (9, 4, None), (6, 4, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").selectExpr("*", "'F' as o_orderstatus", "timestamp'2000-01-01' as o_orderdate", "'x' as o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    df = queries.QUERIES["sql_lateral_subquery"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 2), (2, 8), (3, None), (4, 6)]
+    windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "+- Window [" in x]
+    assert windows and all("o_totalprice" in x and "DESC" in x for x in windows)
