@@ -7,7 +7,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,15 +62,24 @@ def confidence(similarity: float, overlap: float) -> float:
     return round(0.35 * similarity + 0.65 * overlap, 4)
 
 
+def _same(c: Column) -> Column:
+    """Keys that differ only in case, separators or leading zeros are one key."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)[-_\s]", "")), "^0+(?=.)", "")
+
+
 def overlaps(pairs: DataFrame) -> DataFrame:
     """``pair, transform, place, overlap`` for values ``pair, side, value``: the share of transformed values of side a that side b has.
 
-    All pairs and all transforms are one job.
+    Where a transform makes different keys of side a equal, the share is of the keys, so that a few
+    endings that all keys share are no match. All pairs and all transforms are one job.
     """
     text = F.col("value")
-    a = pairs.where("side = 'a' and value is not null").select("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).alias("transform"), f(text).alias("v")) for i, (n, f) in enumerate(keys.GRAMMAR.items())))).alias("x")).select("pair", "x.*").distinct()
+    forms = [*((n, f(text)) for n, f in keys.GRAMMAR.items()), (None, _same(text))]
+    a = pairs.where("side = 'a' and value is not null").select("pair", "value").distinct().select("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(n).cast("string").alias("transform"), v.alias("v")) for i, (n, v) in enumerate(forms)))).alias("x")).select("pair", "x.*").distinct()
     b = pairs.where("side = 'b' and value is not null").select("pair", strip(text).alias("v")).distinct().withColumn("hit", F.lit(1))
-    return a.join(b, ["pair", "v"], "left").groupBy("pair", "transform", "place").agg((F.count("hit") / F.count("*")).alias("overlap"))
+    counts = a.join(b, ["pair", "v"], "left").groupBy("pair", "transform", "place").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    known = F.max(F.when(F.col("transform").isNull(), F.col("n"))).over(W.partitionBy("pair"))
+    return counts.withColumn("keys", known).where("transform is not null").select("pair", "transform", "place", (F.col("hits") / F.greatest("n", "keys")).alias("overlap"))
 
 
 def best_transform(pairs: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave import queries
+from lodeweave.plans import discovery
 
 from .conftest import SF
 
@@ -54,6 +55,22 @@ def test_discover_joins_reads_every_value(spark, tmp_path):
     assert (r["transform"], r["overlap"]) == ("identity", 1.0)
 
 
+def test_discover_joins_takes_no_shared_endings(spark, tmp_path):
+    """Cut down to their endings, all customers are ordered; as keys, a sixth of them is."""
+    spark.range(15_000).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(90_000).select(F.col("id").alias("c_custkey"), F.lit("x").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    found = [tuple(r) for r in queries.QUERIES["discover_joins"](spark, str(tmp_path)).collect()]
+    assert found == [("sales.orders.o_custkey", "crm.customer.c_custkey", "identity", 1.0, 0.9475)]
+
+
+def test_spellings_of_a_key_stay_one(spark):
+    detect = discovery.detect_transform
+    assert detect(spark, ["AB", "ab", "Ab", "CD"], ["ab", "cd"]) == ("lowercase", 1.0)
+    assert detect(spark, ["x-1", "x_1", "y-2"], ["x1", "y2"]) == ("remove_separators", 1.0)
+    assert detect(spark, ["1", "01", "2"], ["00001", "00002"]) == ("zfill_5", 1.0)
+    assert detect(spark, ["de-1", "fr-1", "it-1"], ["1"])[0] is None
+
+
 def customers(spark, path, ids):
     for t in "region nation supplier part orders lineitem events documents pages conversations".split():
         (path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
