@@ -3,12 +3,15 @@
 import json
 import os
 import uuid
+import zipfile
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .engine import Config, Engine
 from .functions import keys, user
@@ -42,6 +45,35 @@ def _folder(spark: SparkSession) -> str:
     return urlsplit(path).path if path.startswith("file:") else path
 
 
+def _derby(spark: SparkSession, df: DataFrame, table: str, columns: str) -> str:
+    """The URL of a database that holds ``df`` and that every process can open.
+
+    Only one process can have a database folder open, so the driver imports the rows, which the executors
+    write as text, and closes it; in an archive it is for reading only, and then any number can. The archive
+    is not compressed: pages are read by their place.
+    """
+    folder, manager = _folder(spark), spark._jvm.java.sql.DriverManager
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    field = lambda n: F.concat(F.lit('"'), F.replace(F.col(n), F.lit('"'), F.lit('""')), F.lit('"')) if n in texts else F.col(n).cast("string")
+    df.select(F.concat_ws(",", *(F.coalesce(field(n), F.lit("")) for n in df.columns))).write.text(f"{folder}/rows")
+    connection = manager.getConnection(f"jdbc:derby:{folder}/base;create=true")
+    run = connection.createStatement().execute
+    run(f"create table {table} ({columns})")
+    for name in sorted(n for n in os.listdir(f"{folder}/rows") if n.startswith("part-")):
+        run(f"""call syscs_util.syscs_import_table(null, '{table}', '{folder}/rows/{name}', ',', '"', 'UTF-8', 0)""")
+    connection.close()
+    try:
+        manager.getConnection(f"jdbc:derby:{folder}/base;shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # closing a database always raises this
+            raise
+    with zipfile.ZipFile(f"{folder}/base.jar", "w", zipfile.ZIP_STORED) as archive:
+        for at, _, names in os.walk(f"{folder}/base"):
+            for name in names:
+                archive.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", folder))
+    return f"jdbc:derby:jar:({folder}/base.jar)base"
+
+
 def _engine(spark: SparkSession, sf: str, **config) -> Engine:
     """An engine with the tables as the source ``files`` and state of its own."""
     state = _folder(spark)
@@ -91,8 +123,8 @@ def source_duckdb(spark, sf):
 def source_jdbc_ranges(spark, sf):
     """A table of an embedded JDBC database, read in four ranges of its key."""
     driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    url = f"jdbc:derby:{_folder(spark)}/base;create=true"
-    spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_size").toDF("P_PARTKEY", "P_BRAND", "P_SIZE").write.option("createTableColumnTypes", "P_BRAND varchar(64)").jdbc(url, "PARTS", properties={"driver": driver})
+    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand", "p_size").toDF("P_PARTKEY", "P_BRAND", "P_SIZE")
+    url = _derby(spark, parts, "PARTS", "P_PARTKEY bigint, P_BRAND varchar(32672), P_SIZE integer")
     e = _engine(spark, sf)
     e.catalog.register("j", "jdbc", url, driver=driver, partitionColumn="P_PARTKEY", numPartitions="4")
     return e.frame("SELECT P_BRAND AS p_brand, count(*) AS n, sum(P_SIZE) AS size FROM PARTS GROUP BY P_BRAND", ["j"])[0]

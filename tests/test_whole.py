@@ -1,5 +1,9 @@
 """Queries over the whole of their tables."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +100,25 @@ def test_lateral_limit_keeps_its_order(spark, duck, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(1, 2), (2, 8), (3, None), (4, 6)]
     windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "+- Window [" in x]
     assert windows and all("o_totalprice" in x and "DESC" in x for x in windows)
+
+
+def test_jdbc_rows_of_any_text(spark, tmp_path):
+    rows = [(i, b, i) for i, b in enumerate([None, "", " a ", 'x"y', '"', "a,b", "l\nm", "é😀", "z" * 70, "\\", "\r\n"])] + [(-5, "q", None), (1 << 40, "q", 7)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, queries.QUERIES["source_jdbc_ranges"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(b, 1, i) for i, b, _ in rows[:-2]] + [("q", 2, 7)], key=repr)
+    spark.createDataFrame([], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "none" / "part.parquet"))
+    assert queries.QUERIES["source_jdbc_ranges"](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_jdbc_with_separate_executors(tmp_path):
+    code = f"""
+from lodeweave import queries
+from lodeweave.session import session
+s = session("t", "local-cluster[2,1,1024]", **{{"spark.ui.enabled": "false", "spark.sql.warehouse.dir": "{tmp_path}/warehouse", "spark.driver.memory": "1g"}})
+print("rows", queries.QUERIES["source_jdbc_ranges"](s, "{SF}").groupBy().sum("n").first()[0])
+s.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
+    assert "rows 200" in run.stdout, run.stderr[-2000:]
